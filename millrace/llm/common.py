@@ -68,6 +68,14 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_APART = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+
+
+def tokens(text: str) -> list[bytes]:
+    """Lower-cased runs of ASCII letters and digits and of all other than ASCII signs, as bytes."""
+    return text.lower().encode("utf-8", "replace").translate(_APART).split()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> S29)) * K2
     return x ^ (x >> S32)
