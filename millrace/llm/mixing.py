@@ -6,7 +6,7 @@ w_i over the source's mean size. The convex dual in lambda is one equation for e
 a bracket solve all of them at once: each step is one aggregate over a table of (source, size, documents),
 which is all the steps read, so the texts are read once and a hot source is counted before any shuffle.
 Rates become copies by systematic rounding: running sums of rates, largest documents first, are rounded, so a
-source's copies never drift; inside a size the copies left over go to the documents first in hash order, found
+source's copies never drift, and what is left of the target goes to the size that fits it best; inside a size the copies left over go to the documents first in hash order, found
 by counts of hash buckets rather than by a sort of the whole group.
 
 Edge cases: a null text has size 0; null sources are one source, sorted last; documents without words take 0;
@@ -93,6 +93,15 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: str
     down = Window.partitionBy("source").orderBy(F.desc("size"))
     upto = F.sum((F.col("rate") * F.col("n")).cast("decimal(38,9)")).over(down)
     rated = rated.withColumn("cell_copies", (F.round(upto) - F.round(upto - F.col("rate") * F.col("n"))).cast("long"))
+    # what rounding left of the target is made up by copies of the one size that fits it best
+    own = Window.partitionBy("source")
+    gap = F.col("target") - F.sum(F.col("cell_copies") * F.col("size")).over(own)
+    rated = rated.withColumn("gap", gap).withColumn("room", F.when(F.col("gap") > 0, 2 * F.col("n") - F.col("cell_copies")).otherwise(F.col("cell_copies")))
+    rated = rated.withColumn("more", F.when(F.col("size") > 0, F.least("room", F.greatest(F.lit(1), F.round(F.abs("gap") / F.col("size")).cast("long")))).otherwise(0))
+    rated = rated.withColumn("miss", F.abs(F.abs("gap") - F.col("more") * F.col("size")))
+    best = F.min(F.struct("miss", "size")).over(own)
+    rated = rated.withColumn("best", best).withColumn("more", F.when((F.col("size") == F.col("best.size")) & (F.col("miss") < F.abs("gap")), F.col("more") * F.signum("gap")).otherwise(0).cast("long"))
+    rated = rated.withColumn("cell_copies", F.col("cell_copies") + F.col("more")).drop("gap", "room", "more", "miss", "best")
     rated = rated.withColumn("each", F.floor(F.col("cell_copies") / F.col("n")).cast("long")).withColumn("left", F.col("cell_copies") - F.col("each") * F.col("n")).withColumn("buckets", F.ceil(F.col("n") / BUCKET).cast("long"))
     rated = store(rated, "rates")
     r = rated.select(F.col("source").alias("rs"), F.col("size").alias("rz"), "source_size", "target", "rate", "each", "left", "buckets")
