@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import chat, decontam, langid, licenses, mixing, quality, toxicity
+from millrace.llm import chat, decontam, fingerprints, langid, licenses, mixing, quality, toxicity
 from millrace.llm.common import held_out, table
 
 def _id() -> dict:
@@ -49,6 +49,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -70,7 +74,7 @@ FROM c GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op5_chat": op5_chat, "op6_decontamination": op6_decontamination, "op8_licenses": op8_licenses, "op10_quality": op10_quality}
+    return {"op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op5_chat": op5_chat, "op6_decontamination": op6_decontamination, "op7_fingerprints": op7_fingerprints, "op8_licenses": op8_licenses, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
