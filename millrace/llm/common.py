@@ -143,14 +143,16 @@ def blocks(batch: pa.RecordBatch, text: str = "text", limit: int = BLOCK_BYTES)
         start = stop
 
 
-def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list], schema: str, text: str = "text") -> DataFrame:
-    """mapInArrow by blocks of bounded text. fn gives a dict of columns, in the order of the schema."""
+def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list], schema: str) -> DataFrame:
+    """mapInArrow by blocks of bounded text (column _text or text). fn gives a dict of columns, in the order of the schema."""
     names = [f.split(" ")[0] for f in re.split(r",\s*", schema)]
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
 
     types = [to_arrow_type(f.dataType) for f in _parse_datatype_string(schema).fields]
 
+    text = "_text" if "_text" in df.columns else "text"
+
     def run(batches):
         for batch in batches:
             for part in blocks(batch, text):

@@ -33,7 +33,7 @@ def _hits(docs: DataFrame, items: list[tuple[int, str]], keep: dict[str, Column]
     key, owner = key[order], owner[order]
     size = np.array([len(w) for w in words], np.int64)
     ids = [i for i, _ in items]
-    kept = docs.select(*[c.alias(k) for k, c in keep.items()], F.col(text).alias("text"))
+    kept = docs.select(*[c.alias(k) for k, c in keep.items()], F.col(text).alias("_text"))
     names, ready = list(keep), {}
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
 

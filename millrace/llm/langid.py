@@ -107,7 +107,7 @@ def train(docs: DataFrame, train_on: Column, *, text: str = "text", lang: str =
 
 def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", keep: dict[str, Column]) -> DataFrame:
     """The columns of keep (name -> Column), then lang_pred string and score double of each row's whole text."""
-    kept = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("text"))
+    kept = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("_text"))
     names = list(keep)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     state: dict = {}

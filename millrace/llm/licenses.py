@@ -55,7 +55,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, keep: dict
     widths = [min(SHINGLE, len(p)) for p in parts]
     sets = [np.unique(shingles(p)) for p in parts]
     bands = [minhash(s, seeds).reshape(BANDS, ROWS) for s in sets]
-    kept = docs.select(*[c.alias(k) for k, c in keep.items()], F.col(text).alias("text"))
+    kept = docs.select(*[c.alias(k) for k, c in keep.items()], F.col(text).alias("_text"))
     columns, ready = list(keep), {}
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
 

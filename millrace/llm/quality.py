@@ -115,7 +115,7 @@ def score(docs: DataFrame, model: NbSvm | float, keep: dict[str, Column], text:
     """keep's columns and score double (0 to 1) of each row's whole text."""
     if isinstance(model, float):
         return docs.select(*[c.alias(n) for n, c in keep.items()], F.lit(model).alias("score"))
-    kept = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("text"))
+    kept = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("_text"))
     names = list(keep)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     memo = Hashes()

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import chat, decontam, fingerprints, langid, licenses, mixing, quality, toxicity
+from millrace.llm import chat, decontam, fingerprints, langid, licenses, mixing, neardup, quality, substrings, toxicity
 from millrace.llm.common import held_out, table
 
 def _id() -> dict:
     return {"doc_id": F.col("doc_id"), "held_out": held_out(F.col("doc_id"))}
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs, ~held_out(F.col("doc_id")))
@@ -57,6 +61,21 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove(table(spark, sf_dir, "documents"), keep={"doc_id": F.col("doc_id")})
+
+
+OP9_SQL = r"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT r, i, array_to_string(ws[i:i + 34], ' ') AS s FROM w, unnest(range(1, len(ws) - 33)) AS t(i)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY s) AS c FROM win) WHERE c > 1),
+gone AS (SELECT DISTINCT r, i + k AS p FROM twice, unnest(range(35)) AS t(k)),
+words AS (SELECT r, p, ws[p] AS word FROM w, unnest(range(1, len(ws) + 1)) AS t(p)),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS k, count(*) AS n FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (r)
+"""
+
 OP5_SQL = r"""
 WITH c AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -74,8 +93,9 @@ FROM c GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op5_chat": op5_chat, "op6_decontamination": op6_decontamination, "op7_fingerprints": op7_fingerprints, "op8_licenses": op8_licenses, "op10_quality": op10_quality}
+    found = (op1_near_duplicates, op2_language_id, op3_toxicity, op4_mixing, op5_chat, op6_decontamination, op7_fingerprints, op8_licenses, op9_repeated_passages, op10_quality)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat": OP5_SQL}
+    return {"op5_chat": OP5_SQL, "op9_repeated_passages": OP9_SQL}
