@@ -50,7 +50,8 @@ def rules(df: DataFrame, profile: Profile) -> list[Column]:
 
 def issues(df: DataFrame, profile: Profile, row_id: str = "row_id", limit: int | None = 10) -> DataFrame:
     """(row_id, field, rule, severity, description, suggestion). limit: rows listed of each field and rule, the
-    first by row_id; missing values are all listed. A required column that is absent is one issue at row -1."""
+    first by row_id; missing values are all listed. A required column that is absent is one issue at row -1
+    (not in a stream, whose rows can't be joined by a fixed one)."""
     spark = df.sparkSession
     kind = dict(df.dtypes)[row_id]
     absent = [(f.name,) for f in profile.fields.values() if f.required and f.name not in df.columns]
@@ -64,7 +65,7 @@ def issues(df: DataFrame, profile: Profile, row_id: str = "row_id", limit: int |
             listed = listed.where(F.col("rule").isin(*UNCAPPED)).unionByName(first)
     else:
         listed = spark.createDataFrame([], schema)
-    if absent:
+    if absent and not df.isStreaming:
         lacking = spark.createDataFrame(absent, "field string").select(F.lit(-1).cast(kind).alias("row_id"), "field", F.lit("missing_column").alias("rule"), F.lit("error").alias("severity"), F.lit("column is missing").alias("description"), F.lit("add the column").alias("suggestion"))
         listed = listed.unionByName(lacking)
     return listed

@@ -440,20 +440,24 @@ def _parts(spark, sf):
     return t(spark, sf, "part").select(k, F.col("p_retailprice").alias("price"), F.lit(0.05).alias("residual"), (F.col("p_size") % 12).alias("life"), F.date_add(F.lit("2010-01-01").cast("date"), (k % 2000).cast("int")).alias("bought"))
 
 
+def _money(x: str) -> str:
+    return f"CAST(round(CAST({x} AS DECIMAL(18, 8)), 2) AS DOUBLE)"
+
+
 _STRAIGHT = "CASE WHEN life > 0 THEN price * (1 - CAST(residual AS DOUBLE)) / life ELSE 0 END"
 
 
-@query(f"SELECT p_partkey, round({_STRAIGHT}, 2) AS annual, round({_STRAIGHT} / 12, 2) AS monthly FROM {_PART_SQL}")
+@query(f"SELECT p_partkey, {_money(_STRAIGHT)} AS annual, {_money(f'({_STRAIGHT}) / 12')} AS monthly FROM {_PART_SQL}")
 def straight_line(spark, sf):
     return _parts(spark, sf).select("p_partkey", domain.straight_line(F.col("price"), F.col("residual"), F.col("life")).alias("d")).select("p_partkey", "d.annual", "d.monthly")
 
 
-@query(f"SELECT p_partkey, round(least(CASE WHEN life > 0 THEN price * 2.0 / life ELSE 0 END, greatest(price - price * CAST(residual AS DOUBLE), 0)), 2) AS charge FROM {_PART_SQL}")
+@query(f"SELECT p_partkey, {_money('least(CASE WHEN life > 0 THEN price * 2.0::DOUBLE / life ELSE 0 END, greatest(price - price * CAST(residual AS DOUBLE), 0))')} AS charge FROM {_PART_SQL}")
 def double_declining(spark, sf):
     return _parts(spark, sf).select("p_partkey", domain.double_declining(F.col("price"), F.col("residual"), F.col("life")).alias("charge"))
 
 
-@query(f"SELECT p_partkey, round(greatest(0, price - {_STRAIGHT} * date_diff('day', bought, DATE '2016-06-30') / CAST(365.25 AS DOUBLE)), 2) AS worth FROM {_PART_SQL}")
+@query(f"SELECT p_partkey, {_money(f"greatest(0, price - {_STRAIGHT} * date_diff('day', bought, DATE '2016-06-30') / CAST(365.25 AS DOUBLE))")} AS worth FROM {_PART_SQL}")
 def current_value(spark, sf):
     return _parts(spark, sf).select("p_partkey", domain.current_value(F.col("price"), F.col("residual"), F.col("life"), F.col("bought"), F.lit("2016-06-30").cast("date")).alias("worth"))
 
