@@ -58,7 +58,7 @@ def paths(messages: DataFrame, top: int | None = None) -> DataFrame:
     linked = nodes.join(known.withColumn("real", F.lit(True)), ["tree", "parent"], "left")
     level = store(linked.select("tree", "id", F.when(F.col("real"), F.col("parent")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("steps")), "paths")
     levels, most = [level], nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    while (1 << len(levels)) <= most:
+    while (1 << (len(levels) - 1)) < most:
         here = levels[-1]
         there = here.select("tree", F.col("id").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("steps").alias("further"))
         joined = here.join(there, ["tree", "up"], "left")
