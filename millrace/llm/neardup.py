@@ -296,8 +296,7 @@ def _verify(docs: DataFrame, families: DataFrame, sigs: DataFrame, text: str) ->
     sized = families.join(sigs.select(F.col("rid").alias("v"), "n"), "v")
     blocks = sized.groupBy("l").agg(F.ceil(F.sum("n") / FAMILY_WORDS).cast("int").alias("m"))
     members = sized.join(blocks, "l").select(F.col("v").alias("rid"), F.col("l").alias("family"), "m")
-    named = docs.select(F.col(text).alias("text"))
-    texts = _with_rid(named).join(members, "rid").dropDuplicates(["rid"])
+    texts = _with_rid(docs, text=text).withColumnsRenamed({"_rid": "rid", "_text": "text"}).join(members, "rid").dropDuplicates(["rid"])
     memo = Hashes()
 
     def sets(batch):
@@ -337,11 +336,10 @@ def _verify(docs: DataFrame, families: DataFrame, sigs: DataFrame, text: str) ->
 
 def deduplicated(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of docs of each class, all columns; equal texts under one key are one document."""
-    found = classes(docs, text=text, key=key).where("stays").select("rid", F.col(key).alias("_key")).distinct()
-    named = docs.withColumnRenamed(text, "text") if text != "text" else docs
-    rows = _with_rid(named, {c: F.col(c) for c in named.columns if c != "text"})
-    kept = rows.join(found, (rows["rid"] == found["rid"]) & rows[key].eqNullSafe(found["_key"]), "left_semi").dropDuplicates(["rid", key])
-    return kept.withColumnRenamed("text", text).select(docs.columns)
+    found = classes(docs, text=text, key=key).where("stays").select(F.col("rid").alias("_stays"), F.col(key).alias("_key")).distinct()
+    rows = _with_rid(docs, {c: F.col(c) for c in docs.columns if c != text}, text)
+    kept = rows.join(found, (rows["_rid"] == found["_stays"]) & rows[key].eqNullSafe(found["_key"]), "left_semi").dropDuplicates(["_rid", key])
+    return kept.withColumnRenamed("_text", text).select(docs.columns)
 
 
 def classes(docs: DataFrame, *, text: str = "text", key: str = "doc_id", keep: dict[str, Column] | None = None, with_audit: bool = False):
@@ -356,14 +354,15 @@ def classes(docs: DataFrame, *, text: str = "text", key: str = "doc_id", keep: d
     families = components(links)
     verified = store(_verify(docs, families, sigs, text), "verified")
     roots = components(verified)
-    named = docs.withColumnRenamed(text, "text") if text != "text" else docs
-    rows = _with_rid(named, keep | {"_key": F.col(key)}).select("rid", *keep, "_key", F.col("text").isNotNull().alias("_some"))
-    known = sigs.select("rid", F.lit(True).alias("_words"))
-    rows = rows.join(known, "rid", "left").join(roots.select(F.col("v").alias("rid"), "l"), "rid", "left").withColumn("root", F.coalesce("l", "rid"))
+    rows = _with_rid(docs, keep | {"_key": F.col(key)}, text).drop("_text")
+    known = sigs.select(F.col("rid").alias("_rid"), F.lit(True).alias("_words"))
+    labels = roots.select(F.col("v").alias("_rid"), F.col("l").alias("_l"))
+    rows = rows.join(known, "_rid", "left").join(labels, "_rid", "left").withColumn("_root", F.coalesce("_l", "_rid"))
     whole = rows.where("_words")
-    order = F.struct(F.col("_key").isNull(), "_key", "rid")
-    least = whole.groupBy("root").agg(F.min(order).alias("first"), F.min("_key").alias("class_id"), F.count("*").alias("class_size"))
-    done = whole.join(least, "root").select(*keep, "rid", "class_id", "class_size", (F.col("first") == order).alias("stays"))
-    alone = rows.where("_words IS NULL").select(*keep, "rid", F.col("_key").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("stays"))
+    order = F.struct(F.col("_key").isNull(), "_key", "_rid")
+    least = whole.groupBy("_root").agg(F.min(order).alias("_first"), F.min("_key").alias("_class"), F.count("*").alias("_size"))
+    own = [F.col("_rid").alias("rid"), F.col("_class").alias("class_id"), F.col("_size").alias("class_size")]
+    done = whole.join(least, "_root").select(*keep, *own, (F.col("_first") == order).alias("stays"))
+    alone = rows.where("_words IS NULL").select(*keep, F.col("_rid").alias("rid"), F.col("_key").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("stays"))
     result = done.unionByName(alone)
     return (result, links.where("expected IS NOT NULL").select("found", "expected")) if with_audit else result

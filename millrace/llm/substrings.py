@@ -115,7 +115,7 @@ def repeated(index: FmIndex, t: np.ndarray, begin: np.ndarray, end: np.ndarray,
     found: list[tuple[np.ndarray, ...]] = []
     lane = np.arange(len(begin))
     b, e, top = begin.copy(), end.copy(), end.copy()
-    p, limit = end.copy(), begin.copy()
+    p, limit, probe = end.copy(), begin.copy(), np.zeros(len(begin), bool)
     bounds = np.stack([np.zeros(len(b), np.int64), np.full(len(b), index.n, np.int64)])
     while len(lane):
         word = t[p - 1].astype(np.int64)
@@ -124,7 +124,7 @@ def repeated(index: FmIndex, t: np.ndarray, begin: np.ndarray, end: np.ndarray,
         bounds = np.where(ok, new, bounds)
         p = p - ok
         fail, ended = ~ok, ok & (p == limit)
-        whole = ended & (limit == b)
+        whole = ended & ~probe
         mark = (fail | whole) & (e - p >= size)
         if mark.any():
             found.append((lane[mark], (p - b)[mark], (e - b)[mark]))
@@ -134,22 +134,28 @@ def repeated(index: FmIndex, t: np.ndarray, begin: np.ndarray, end: np.ndarray,
             j = limit
             goal = np.minimum(np.minimum(j + size, e + (e - j)), top)
             on = passed & (goal <= e)
-            limit = np.where(on, b, limit)
             again = passed & ~on
+            done = on | (again & (goal >= j + size))
+            limit, probe = np.where(done, b, limit), probe & ~done
             e = np.where(again, goal, e)
             p = np.where(again, goal, p)
-            limit = np.where(again & (goal >= j + size), b, limit)
             bounds = np.where(again, np.array([[0], [index.n]]), bounds)
         if fail.any():
             j = p - 1
             top = np.where(fail, e - 1, top)
             e = np.where(fail, np.minimum(j + 4, top), e)
+            probe = np.where(fail, e > j, probe)
             limit = np.where(fail, np.where(e > j, j, b), limit)
             p = np.where(fail, e, p)
             bounds = np.where(fail, np.array([[0], [index.n]]), bounds)
-        alive = ~whole & (top - b >= size) & (p > limit)
+        # a search that starts past its limit's left end and has nothing left to add is over: mark what it spans
+        spent = ~whole & ~probe & (p == b)
+        if spent.any():
+            mark = spent & (e - p >= size)
+            found.append((lane[mark], (p - b)[mark], (e - b)[mark]))
+        alive = ~whole & ~spent & (top - b >= size)
         if not alive.all():
-            lane, b, e, top, p, limit, bounds = lane[alive], b[alive], e[alive], top[alive], p[alive], limit[alive], bounds[:, alive]
+            lane, b, e, top, p, limit, probe, bounds = lane[alive], b[alive], e[alive], top[alive], p[alive], limit[alive], probe[alive], bounds[:, alive]
     if not found:
         return (np.zeros(0, np.int64),) * 3
     return tuple(np.concatenate(x) for x in zip(*found))
@@ -266,8 +272,7 @@ def spans(docs: DataFrame, *, text: str = "text", size: int = SIZE, hot: int = H
     often = found.groupBy("mh").count().where(F.col("count") >= hot).select("mh", F.lit(True).alias("hot"))
     marked = found.join(often, "mh", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     by_text = marked.distinct().groupBy("rid").agg(F.collect_list(F.struct("start", "n", "mh", "hot")).alias("segments"))
-    rid = _with_rid(docs.select(F.col(text).alias("text")))
-    placed = rid.join(by_text, "rid")
+    placed = _with_rid(docs, text=text).withColumnsRenamed({"_rid": "rid", "_text": "text"}).join(by_text, "rid")
 
     def part(batch):
         out = {"mh": [], "content": [], "rid": [], "start": [], "hot": []}
@@ -302,26 +307,25 @@ def spans(docs: DataFrame, *, text: str = "text", size: int = SIZE, hot: int = H
     return got.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list(F.transform(F.sequence(F.lit(0), (F.size("spans") / 2 - 1).cast("int")), lambda i: F.struct(F.get("spans", i * 2).alias("s"), F.get("spans", i * 2 + 1).alias("e")))))).alias("spans"))
 
 
-def _with_rid(docs: DataFrame, keep: dict[str, Column] | None = None) -> DataFrame:
-    """rid, keep's columns, text."""
+def _with_rid(docs: DataFrame, keep: dict[str, Column] | None = None, text: str = "text") -> DataFrame:
+    """_rid, keep's columns, _text."""
     keep = keep or {}
-    kept = docs.select(*[c.alias(k) for k, c in keep.items()], F.col("text"))
+    kept = docs.select(*[c.alias(k) for k, c in keep.items()], F.col(text).alias("_text"))
     names = list(keep)
     schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in kept.schema.fields[:-1])
 
     def part(batch):
         t = batch.column(batch.num_columns - 1)
-        yield {"rid": [_rid(x) for x in t.cast(pa.binary()).to_pylist()]} | {n: batch.column(i) for i, n in enumerate(names)} | {"text": t}
+        yield {"_rid": [_rid(x) for x in t.cast(pa.binary()).to_pylist()]} | {n: batch.column(i) for i, n in enumerate(names)} | {"_text": t}
 
-    return arrow_pass(kept, part, f"rid long, {schema}text string")
+    return arrow_pass(kept, part, f"_rid long, {schema}_text string")
 
 
 def remove(docs: DataFrame, *, keep: dict[str, Column], text: str = "text", size: int = SIZE, hot: int = HOT, block_words: int = BLOCK_WORDS, digest: bool = True) -> DataFrame:
     """keep's columns, n_words, n_removed and either kept_sha256 or, without digest, kept: the words left, joined
     by one space where any was removed, else the text as it was (null stays null)."""
     found = spans(docs, text=text, size=size, hot=hot, block_words=block_words)
-    named = docs.withColumnRenamed(text, "text") if text != "text" else docs
-    rows = _with_rid(named, keep).join(found, "rid", "left")
+    rows = _with_rid(docs, keep, text).join(found.withColumnsRenamed({"rid": "_rid", "spans": "_spans"}), "_rid", "left")
     names = list(keep)
     fields = dict(rows.dtypes)
     last = "kept_sha256" if digest else "kept"
@@ -345,4 +349,4 @@ def remove(docs: DataFrame, *, keep: dict[str, Column], text: str = "text", size
         yield {n: batch.column(i) for i, n in enumerate(names)} | out
 
     schema = "".join(f"{n} {fields[n]}, " for n in names) + f"n_words long, n_removed long, {last} string"
-    return arrow_pass(rows.select(*names, "text", "spans"), part, schema)
+    return arrow_pass(rows.select(*names, "_text", "_spans"), part, schema)
