@@ -36,10 +36,12 @@ def frequencies(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
     return long_form(df, columns, kind).where("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
-def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
     """(column, type, count, null_count, unique_count, mean, std, min, max, q25, q50, q75), numbers only for numeric columns.
 
-    One fused aggregate gives the moments; value frequencies give distinct counts and exact quartiles.
+    One fused aggregate gives the moments; value frequencies give distinct counts and exact quartiles. With
+    exact=False sketches in the same aggregate estimate both, and no value is shuffled: for tables whose columns
+    hold billions of distinct values.
     """
     columns = columns or df.columns
     numbers = set(numeric_columns(df))
@@ -49,6 +51,8 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             *[(f(q(c)) if c in numbers else F.lit(None)).cast("double").alias(n) for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))],
         ) for c in columns
     ]
+    if not exact:
+        return _sketched(df, columns, numbers)
     base = df.agg(F.array(*facts).alias("f")).select(F.explode("f").alias("f")).select("f.*")
     parts = []
     if own := [c for c in columns if c in numbers]:
@@ -59,6 +63,20 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return base.join(F.broadcast(distinct), "column", "left").select("column", "type", "count", "null_count", F.coalesce("unique_count", F.lit(0)).alias("unique_count"), "mean", "std", "min", "max", *[F.get("qs", F.lit(i)).alias(n) for i, n in enumerate(("q25", "q50", "q75"))])
 
 
+def _sketched(df: DataFrame, columns: list[str], numbers: set[str]) -> DataFrame:
+    facts = []
+    for c in columns:
+        num = c in numbers
+        nothing = F.lit(None).cast("double")
+        quartile = F.percentile_approx(q(c).cast("double"), list(QUARTILES), 10_000) if num else F.lit(None).cast("array<double>")
+        facts.append(F.struct(
+            F.lit(c).alias("column"), F.lit(type_name(df.schema[c].dataType)).alias("type"), F.count(q(c)).alias("count"), F.count_if(q(c).isNull()).alias("null_count"), F.approx_count_distinct(q(c)).alias("unique_count"),
+            *[(f(q(c)).cast("double") if num else nothing).alias(n) for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))],
+            *[(F.get(quartile, F.lit(i)) if num else nothing).alias(n) for i, n in enumerate(("q25", "q50", "q75"))],
+        ))
+    return df.agg(F.array(*facts).alias("f")).select(F.explode("f").alias("f")).select("f.*")
+
+
 def top_values(df: DataFrame, columns: list[str], k: int = 10) -> DataFrame:
     """(column, value, n, place): the k most frequent values as text, ties by value."""
     w = Window.partitionBy("column").orderBy(F.desc("n"), "value")

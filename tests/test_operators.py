@@ -94,6 +94,8 @@ def test_statistics_match_pandas(spark):
     scaled = stats.scale(df, ("a", "b"), ("c",)).toPandas()
     assert ((scaled["b_zscore"] - (pdf["b"] - pdf["b"].mean()) / pdf["b"].std()).abs().dropna() < 1e-9).all()
     assert scaled["b_zscore"].isna().sum() == pdf["b"].isna().sum() and (scaled["c_minmax"] == 0).all()
+    close, exact = ({r.column: r for r in stats.profile(df, exact=e).collect()} for e in (False, True))
+    assert all(abs(close[c].unique_count - exact[c].unique_count) <= 4 and abs(close[c].q50 - exact[c].q50) < 1.1 and math.isclose(close[c]["mean"], exact[c]["mean"], abs_tol=1e-9) for c in "abcd")
     empty = df.limit(0)
     assert stats.outliers(empty).count() == 0 and stats.describe(empty).count() == 0 and stats.profile(empty).count() == 4
 
