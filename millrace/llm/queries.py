@@ -65,6 +65,18 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove(table(spark, sf_dir, "documents"), keep={"doc_id": F.col("doc_id")})
 
 
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + least(5, len(ws)) - 1], ' ') AS g FROM w, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) AS t(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (SELECT a, b FROM shared JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id AS v, doc_id AS r FROM documents UNION SELECT reach.v, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.r),
+class AS (SELECT v, min(r) AS class_id FROM reach GROUP BY v)
+SELECT v AS doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size FROM class
+"""
+
 OP9_SQL = r"""
 WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 win AS (SELECT r, i, array_to_string(ws[i:i + 34], ' ') AS s FROM w, unnest(range(1, len(ws) - 33)) AS t(i)),
@@ -98,4 +110,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat": OP5_SQL, "op9_repeated_passages": OP9_SQL}
+    return {"op1_near_duplicates": OP1_SQL, "op5_chat": OP5_SQL, "op9_repeated_passages": OP9_SQL}
