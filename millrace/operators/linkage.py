@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 REVIEW_BELOW, SIMILAR = 0.7, 0.85
+MOST_KINDS, MOST_BLOCKS = 200, 500
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -49,11 +52,37 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(F.size(shared) > 0, F.size(same) / F.size(shared)).otherwise(0.0)
 
 
+def _blocks(entries: DataFrame, threshold: float, position: str) -> DataFrame:
+    """(p, block): records that agree in as many of their shared fields as threshold asks for share a block.
+
+    The kinds of records (their sets of keys) decide which combinations of fields are blocks. With very many
+    kinds or combinations every single field is one.
+    """
+    kinds = [r[0] for r in entries.select(F.array_sort(F.map_keys("fields")).alias("k")).distinct().limit(MOST_KINDS + 1).collect() if r[0]]
+    blocks: set[tuple[str, ...]] = set()
+    if len(kinds) <= MOST_KINDS:
+        for shared in {tuple(sorted(set(a) & set(b))) for a in kinds for b in kinds}:
+            if shared:
+                blocks |= set(combinations(shared, max(1, math.ceil(threshold * len(shared) - 1e-9))))
+            if len(blocks) > MOST_BLOCKS:
+                break
+    if not blocks or len(blocks) > MOST_BLOCKS:
+        one = entries.select(F.col(position).alias("p"), F.explode("fields").alias("k", "v")).where(F.length(F.trim("v")) > 0)
+        return one.select("p", F.concat("k", F.lit("\x1f"), F.lower(F.trim("v"))).alias("block"))
+    value = lambda k: F.lower(F.trim(F.try_element_at("fields", F.lit(k))))
+    made = []
+    for keys in sorted(blocks):
+        here = F.lit(True)
+        for k in keys:
+            here = here & (F.length(value(k)) > 0)
+        made.append(F.when(here, F.concat_ws("\x1f", F.lit("\x1e".join(keys)), *[value(k) for k in keys])))
+    return entries.select(F.col(position).alias("p"), F.explode(F.array_compact(F.array(*made))).alias("block"))
+
+
 def similar_pairs(entries: DataFrame, threshold: float = SIMILAR, position: str = "position") -> DataFrame:
-    """(a, b, similarity), a before b: pairs at threshold or above. Only pairs with an equal field are compared."""
-    one = entries.select(F.col(position).alias("p"), "fields", F.explode("fields").alias("k", "v")).where(F.length(F.trim("v")) > 0)
-    keyed = one.select("p", "k", F.lower(F.trim("v")).alias("v"))
-    near = keyed.alias("x").join(keyed.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.p") < F.col("y.p"))).select(F.col("x.p").alias("a"), F.col("y.p").alias("b")).distinct()
+    """(a, b, similarity), a before b: pairs at threshold or above. Only pairs that agree in enough fields are compared."""
+    keyed = _blocks(entries, threshold, position)
+    near = keyed.alias("x").join(keyed.alias("y"), (F.col("x.block") == F.col("y.block")) & (F.col("x.p") < F.col("y.p"))).select(F.col("x.p").alias("a"), F.col("y.p").alias("b")).distinct()
     left = entries.select(F.col(position).alias("a"), F.col("fields").alias("fa"))
     right = entries.select(F.col(position).alias("b"), F.col("fields").alias("fb"))
     return near.join(left, "a").join(right, "b").withColumn("similarity", similarity(F.col("fa"), F.col("fb"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
