@@ -15,7 +15,7 @@ def test_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    got, want = queries.queries()[name](spark, SF).toArrow(), con.execute(queries.oracle_sql()[name]).fetch_arrow_table()
+    got, want = queries.queries()[name](spark, SF).toArrow(), con.sql(queries.oracle_sql()[name]).to_arrow_table()
     columns = sorted(want.column_names)
     assert sorted(got.column_names) == columns
     assert sorted(zip(*(got[c].to_pylist() for c in columns))) == sorted(zip(*(want[c].to_pylist() for c in columns)))
