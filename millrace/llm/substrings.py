@@ -264,7 +264,7 @@ def _shards(rows: DataFrame, size: int, block_words: int) -> DataFrame:
 
 
 def spans(docs: DataFrame, *, text: str = "text", size: int = SIZE, hot: int = HOT, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(rid, spans): for each text with repeated windows the word ranges they cover, as starts and ends."""
+    """(rid, spans): for each text with repeated windows lists of the word ranges they cover, start and end in turn."""
     conf = docs.sparkSession.conf
     parts = int(conf.get("spark.sql.shuffle.partitions"))
     occurring = _segments(docs, text, size).repartition(parts, "mh").sortWithinPartitions("mh")
@@ -304,7 +304,7 @@ def spans(docs: DataFrame, *, text: str = "text", size: int = SIZE, hot: int = H
     got = _shards(cold, size, block_words)
     if extra is not None:
         got = got.unionByName(extra)
-    return got.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list(F.transform(F.sequence(F.lit(0), (F.size("spans") / 2 - 1).cast("int")), lambda i: F.struct(F.get("spans", i * 2).alias("s"), F.get("spans", i * 2 + 1).alias("e")))))).alias("spans"))
+    return got.groupBy("rid").agg(F.collect_list("spans").alias("spans"))
 
 
 def _with_rid(docs: DataFrame, keep: dict[str, Column] | None = None, text: str = "text") -> DataFrame:
@@ -337,8 +337,9 @@ def remove(docs: DataFrame, *, keep: dict[str, Column], text: str = "text", size
             left = words
             if own:
                 cover = np.zeros(len(words) + 1, np.int64)
-                np.add.at(cover, [s["s"] for s in own], 1)
-                np.add.at(cover, [s["e"] for s in own], -1)
+                ranges = np.concatenate(own)
+                np.add.at(cover, ranges[::2], 1)
+                np.add.at(cover, ranges[1::2], -1)
                 left = [w for w, c in zip(words, np.cumsum(cover).tolist()) if not c]
             out["n_words"].append(len(words))
             out["n_removed"].append(len(words) - len(left))
