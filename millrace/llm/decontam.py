@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Test items are cut into n-grams of words (lower-cased runs of ASCII letters, digits and other than ASCII
 signs). Documents are read once against them; the passage round each cluster of shared n-grams is kept as
-word hashes. Of an item's n-grams those are seeds whose document frequency is at most rare, or at most the
-item's own median, so that an item that leaked everywhere keeps seeds. Passages with a seed are aligned to
-the item (match +1, other word -1, gap -1), and the score is the best local alignment over the item's words.
+word hashes. Every shared n-gram is a seed, however many documents hold it. Each distinct passage of an item
+is aligned once, for all documents that have it, to the item (match +1, other word -1, gap -1), and the score
+is the best local alignment over the item's words.
 
 Edge cases: null and empty texts, and items of fewer than n words, match nothing; an item that occurs several
 times in a document gives one row, its best passage (the first of equals); repeated rows give repeated results;
@@ -59,18 +59,18 @@ def _hits(docs: DataFrame, items: list[tuple[int, str]], keep: dict[str, Column]
         for p, r, a, b in zip(at.tolist(), row.tolist(), ready["first"][hit].tolist(), ready["last"][hit].tolist()):
             for i in set(owner[a:b].tolist()):
                 found[r, i].append(p)
-        rows, out = [], {"item_id": [], "item_words": [], "start": [], "passage": [], "grams": []}
+        rows, out = [], {"item_id": [], "item_words": [], "start": [], "passage": []}
         for (r, i), ps in found.items():
             low, high, reach = ends[r] - lengths[r], ends[r], int(size[i])
             cut = [0, *(k for k in range(1, len(ps)) if ps[k] - ps[k - 1] > reach), len(ps)]
             for a, b in zip(cut, cut[1:]):
                 s, e = max(low, ps[a] - reach), min(high, ps[b - 1] + n + reach)
                 rows.append(r)
-                for k, v in (("item_id", ids[i]), ("item_words", words[i].view(np.int64)), ("start", s - low), ("passage", h[s:e].view(np.int64)), ("grams", np.unique(g[ps[a:b]]).view(np.int64))):
+                for k, v in (("item_id", ids[i]), ("item_words", words[i].view(np.int64)), ("start", s - low), ("passage", h[s:e].view(np.int64))):
                     out[k].append(v)
         yield {k: batch.column(j).take(rows) for j, k in enumerate(names)} | out
 
-    return arrow_pass(kept, part, f"{schema}, item_id long, item_words array<long>, start long, passage array<long>, grams array<long>")
+    return arrow_pass(kept, part, f"{schema}, item_id long, item_words array<long>, start long, passage array<long>")
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -102,7 +102,7 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, *, keep: dict[str, Column] | None = None, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = 4, rare: int = 50, threshold: float = 0.5) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, *, keep: dict[str, Column] | None = None, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = 4, threshold: float = 0.5) -> DataFrame:
     """(keep's columns, item_id, score, start, end): passages of docs that align to items at threshold or above."""
     keep = keep or {"doc_id": F.col("doc_id")}
     sized = items.where(F.col(item_text).isNotNull() & F.col(item).isNotNull()).select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t")).distinct()
@@ -114,23 +114,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, keep: dict[str, Column] | N
         hits = _hits(docs, block, keep, text, n)
         found = hits if found is None else found.unionByName(hits)
     hits = store(found, "passages")
-    each = hits.select("item_id", F.explode("grams").alias("gram"), F.struct(*keep).alias("doc"))
-    df = each.groupBy("item_id", "gram").agg(F.count_distinct("doc").alias("df"))
-    kinds = hits.groupBy("item_id").agg(F.max(F.size("item_words") - (n - 1)).alias("kinds"))
-    # the median over all of the item's n-grams; those found nowhere have frequency 0
-    middle = df.groupBy("item_id").agg(F.array_sort(F.collect_list("df")).alias("all"))
-    middle = middle.join(kinds, "item_id").select("item_id", F.coalesce(F.try_element_at(F.array_sort("all"), F.greatest(F.size("all") - F.floor(F.col("kinds") / 2), F.lit(1)).cast("int")), F.lit(0)).alias("median"))
-    seeds = df.join(middle, "item_id").where((F.col("df") <= rare) | (F.col("df") <= F.col("median"))).groupBy("item_id").agg(F.collect_set("gram").alias("seeds"))
-    chosen = hits.join(seeds, "item_id").where(F.arrays_overlap("grams", "seeds")).select(*keep, "item_id", "start", "item_words", "passage")
-    names = list(keep)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields[: len(names)])
+    chosen = hits.select("item_id", "item_words", "passage").distinct()
 
     def part(batch):
-        starts, items_, passages = (batch.column(batch.num_columns - 3 + k) for k in range(3))
-        got = [align(np.asarray(w.values), np.asarray(p.values)) for w, p in zip(items_, passages)]
-        score = [s / len(w.values) for (s, _, _), w in zip(got, items_)]
-        yield {k: batch.column(j) for j, k in enumerate([*names, "item_id"])} | {"score": score, "start": [s.as_py() + g[1] for s, g in zip(starts, got)], "end": [s.as_py() + g[2] for s, g in zip(starts, got)]}
-
-    aligned = arrow_pass(chosen.withColumn("text", F.lit("")).select(*names, "item_id", "text", "start", "item_words", "passage"), lambda b: part(b.drop_columns(["text"])), f"{schema}, item_id long, score double, start long, end long")
-    best = aligned.where(F.col("score") >= threshold).groupBy(*names, "item_id").agg(F.max(F.struct("score", (-F.col("start")).alias("back"), "end")).alias("b"))
-    return best.select(*names, "item_id", "b.score", (-F.col("b.back")).alias("start"), "b.end")
+        words, passages = batch.column(2), batch.column(3)
+        got = [align(np.asarray(w.values), np.asarray(p.values)) for w, p in zip(words, passages)]
+        score = [s / len(w.values) for (s, _, _), w in zip(got, words)]
+        yield {"item_id": batch.column(0), "item_words": words, "passage": passages, "score": score, "first": [g[1] for g in got], "last": [g[2] for g in got]}
+
+    own = ["item_id", "item_words", "passage"]
+    aligned = arrow_pass(chosen.select("item_id", F.lit("").alias("text"), "item_words", "passage"), part, "item_id long, item_words array<long>, passage array<long>, score double, first long, last long")
+    leaks = aligned.where(F.col("score") >= threshold).select(*[F.col(c).alias(f"_{c}") for c in (*own, "score", "first", "last")])
+    same = [F.col(c) == F.col(f"_{c}") for c in own]
+    placed = hits.join(leaks, same).select(*keep, "item_id", F.col("_score"), (F.col("start") + F.col("_first")).alias("_from"), (F.col("start") + F.col("_last")).alias("_to"))
+    best = placed.groupBy(*keep, "item_id").agg(F.max(F.struct("_score", (-F.col("_from")).alias("back"), "_to")).alias("b"))
+    return best.select(*keep, "item_id", F.col("b._score").alias("score"), (-F.col("b.back")).alias("start"), F.col("b._to").alias("end"))

@@ -290,6 +290,16 @@ def test_decontamination(spark, docs, empty):
     assert decontam.find_leaks(df, items.limit(0)).count() == 0 and decontam.find_leaks(empty, items).count() == 0
 
 
+def test_edited_copy_of_a_common_leak(spark):
+    """An item that leaked everywhere, and one copy that holds none but its most frequent n-grams."""
+    item = [f"w{i}" for i in range(43)]
+    edited = [f"new{i}" if i % 5 == 4 and i < 35 else w for i, w in enumerate(item)]
+    rows = [(i, f"n{i} " + " ".join(item)) for i in range(60)] + [(100, " ".join(edited)), (101, "one two three four")]
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {i: 1.0 for i in range(60)} | {100: (43 - 7 - 7) / 43}
+
+
 def test_fingerprints(spark, docs, corpus, empty):
     got = sorted(fingerprints.fingerprint(docs, bucket_rows=50).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.n_chars))
     rows = sorted(corpus[0], key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
