@@ -1,15 +1,12 @@
-"""Near-duplicate classes by SimHash and navigable small-world graphs.
+"""Near-duplicate classes by SimHash within minhash groups.
 
 1. Each distinct text gets a 256-bit SimHash of its set of word 5-grams (the whole text when shorter; words as
    in `tokens`) and ROUTES minhashes of the same set. Two texts of similarity 0.8 share a minhash with
    probability 1 - 0.2**6 = 0.99994, so minhashes are the addresses: a text is entered, and asks, in the shards
    of its own minhashes only, which keeps the work linear in the number of texts.
-2. A shard (whole minhash groups up to SHARD texts) holds a navigable small-world graph: texts are inserted in
-   batches, each linked both ways to the nearest that a beam search finds, the search starting in the text's
-   own minhash group. Then all texts are searched again with a beam that doubles until it holds a text beyond
-   RADIUS; where it never does up to MAX_BEAM, the group is searched exactly.
-3. A sample of the searches is audited against exact search over the shard; a shard below RECALL is searched
-   exactly, group by group.
+2. A shard holds whole minhash groups, SHARD texts or a little more. Each group is searched exactly, by flooding:
+   whatever of it is connected by links within RADIUS is linked.
+3. A sample of the texts is audited: all of a text's neighbours in its group must be connected to it.
 4. Texts linked within RADIUS form families. A family's shingle sets meet in one task (in blocks, pairwise, if
    they are large), where links are verified by exact Jaccard similarity; a pair already connected needs none.
 5. Components of the verified links, over equal texts, are the classes.
@@ -33,7 +30,7 @@ from millrace.llm.components import components
 from millrace.llm.substrings import _rid, _with_rid
 
 SHINGLE, SIMILAR, ROUTES, RADIUS = 5, 0.8, 6, 58
-SHARD, LINKS, BEAM, MAX_BEAM, RECALL = 20_000, 8, 16, 64, 0.95
+SHARD = 20_000
 FAMILY_WORDS = 2_000_000
 
 _SALTS = mix(np.arange(1, 5, dtype=np.uint64) * K1)
@@ -74,128 +71,47 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.groupBy("rid").agg(F.first("n").alias("n"), F.first("sim").alias("sim"), F.first("routes").alias("routes"))
 
 
-def distances(sim: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(sim[i] ^ sim[j]).sum(-1, dtype=np.int32)
-
-
-class SmallWorld:
-    """A navigable small-world graph over rows of sim, inserted in batches."""
-
-    def __init__(self, sim: np.ndarray, group: np.ndarray, links: int = LINKS, beam: int = BEAM):
-        self.sim, self.n = sim, len(sim)
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        self.head = np.repeat(first, np.diff(np.append(first, self.n)))
-        place = np.arange(self.n) - self.head
-        self.out = np.full((self.n, links), -1, np.int64)
-        self.table = np.full((self.n, 2 * links), -1, np.int64)
-        batch = np.ceil(np.log2(place + 1)).astype(int)  # heads of all groups first, then as many as are there
-        for b in range(batch.max() + 1):
-            new = np.flatnonzero(batch == b)
-            if b == 0:
-                # heads form a ring with long steps, so that groups reach each other
-                step = max(1, len(new) // 3)
-                ring = np.stack([np.roll(new, 1), np.roll(new, -1), np.roll(new, step)], axis=1)
-                self.out[new, :3] = np.where(ring == new[:, None], -1, ring)
-            else:
-                for a in range(0, len(new), 1000):
-                    ids, d = self.search(new[a : a + 1000], beam)
-                    self.out[new[a : a + 1000]] = ids[:, :links]
-            self._relink(links)
-
-    def _relink(self, links: int) -> None:
-        """The table of neighbours: own links, then the nearest of those that link here."""
-        a, c = np.nonzero(self.out >= 0)
-        b = self.out[a, c]
-        order = np.lexsort((distances(self.sim, a, b), b))
-        a, b = a[order], b[order]
-        first = np.searchsorted(b, b)
-        place = np.arange(len(b)) - first
-        ok = place < links
-        self.table[:, :links] = self.out
-        self.table[:, links:] = -1
-        self.table[b[ok], links + place[ok]] = a[ok]
-
-    def search(self, rows: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """The beam nearest rows found for each of rows (itself left out): ids (-1: none) and distances, ascending."""
-        far = np.int32(1 << 20)
-        q = len(rows)
-        seen = np.zeros((q, self.n), bool)
-        lane = np.arange(q)
-        seen[lane, rows] = True
-        start = np.stack([self.head[rows], self.table[rows, 0], self.table[rows, LINKS]], axis=1)
-        start = np.where(start == rows[:, None], -1, start)
-        ids = np.full((q, beam), -1, np.int64)
-        d = np.full((q, beam), far, np.int32)
-        open_ = np.zeros((q, beam), bool)
-        near = np.concatenate([start, self.table[rows]], axis=1)  # the row's own links, if it has any yet
-        live = lane
-        while len(live):
-            ok = (near >= 0) & ~seen[live[:, None], near]
-            for c in range(1, near.shape[1]):  # one of equals
-                ok[:, c] &= ~((near[:, :c] == near[:, c : c + 1]) & ok[:, :c]).any(1)
-            seen[live[:, None], np.where(ok, near, rows[live][:, None])] = True
-            new = np.where(ok, distances(self.sim, rows[live][:, None], np.maximum(near, 0)), far)
-            all_d = np.concatenate([d[live], new], axis=1)
-            all_i = np.concatenate([ids[live], np.where(ok, near, -1)], axis=1)
-            all_o = np.concatenate([open_[live], ok], axis=1)
-            order = np.argsort(all_d, axis=1, kind="stable")[:, :beam]
-            d[live], ids[live] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
-            o = np.take_along_axis(all_o, order, 1) & (ids[live] >= 0)
-            pick = o.argmax(1)
-            has = o[np.arange(len(live)), pick]
-            o[np.arange(len(live)), pick] = False
-            open_[live] = o
-            chosen = ids[live, pick]
-            live, chosen = live[has], chosen[has]
-            near = self.table[chosen]
-        return ids, d
+def _distances(sim: np.ndarray, one: np.ndarray) -> np.ndarray:
+    bits = np.bitwise_count(sim ^ one)
+    return bits[:, 0].astype(np.int32) + bits[:, 1] + bits[:, 2] + bits[:, 3]
 
 
 def spread_links(sim: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Exact: links that connect whatever is connected within radius, by flooding; quadratic at worst."""
-    left, links = np.arange(len(sim)), []
+    left, rest, links = np.arange(len(sim)), sim, []  # rest: the rows of left, cut only when a link takes some
     while len(left):
-        front, left = [int(left[0])], left[1:]
+        front, left, rest = [int(left[0])], left[1:], rest[1:]
         while front and len(left):
             i = front.pop()
-            near = np.bitwise_count(sim[left] ^ sim[i]).sum(1, dtype=np.int32) <= radius
+            near = _distances(rest, sim[i]) <= radius
+            if not near.any():
+                continue
             links += [(i, int(j)) for j in left[near]]
             front += left[near].tolist()
-            left = left[~near]
+            left, rest = left[~near], rest[~near]
     return links
 
 
 def shard_links(group: np.ndarray, sim: np.ndarray, radius: int = RADIUS, audit_every: int = 100) -> tuple[set[tuple[int, int]], int, int]:
-    """Links within radius that connect a shard's texts (rows sorted by group), and the audit: found of expected."""
-    graph = SmallWorld(sim, group)
+    """Links within radius that connect each group's texts (rows sorted by group), and the audit: connected neighbours of all."""
     links: set[tuple[int, int]] = set()
-    wide: list[int] = []
     found = expected = 0
-    for a in range(0, len(sim), 1000):
-        rows, beam = np.arange(a, min(a + 1000, len(sim))), BEAM
-        while len(rows):
-            ids, d = graph.search(rows, beam)
-            full = (d <= radius).all(1)  # nothing beyond the radius yet: look wider
-            ended = ~full | (beam >= MAX_BEAM)
-            for r, i, e in zip(rows[ended], ids[ended], d[ended]):
-                links.update((min(r, j), max(r, j)) for j in i[(e <= radius) & (i >= 0)].tolist())
-                if r % audit_every == 0 and e[-1] > radius:
-                    true = np.flatnonzero((group == group[r]) & (np.bitwise_count(sim ^ sim[r]).sum(1, dtype=np.int32) <= radius))
-                    expected += len(true) - 1
-                    found += int(np.isin(true, i[e <= radius]).sum())
-            wide += rows[full & ended].tolist()
-            rows, beam = rows[~ended], beam * 2
-    again = np.unique(group[wide]) if wide else []
-    if found < RECALL * expected:
-        again = np.unique(group)
-    for g in again:
-        own = np.flatnonzero(group == g)
-        links.update((int(own[i]), int(own[j])) for i, j in spread_links(sim[own], radius))
+    cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+        own = spread_links(sim[a:b], radius)
+        links.update((a + min(i, j), a + max(i, j)) for i, j in own)
+        audited = range(-a % audit_every, b - a, audit_every)
+        if audited:
+            label = _labels(own, b - a)
+            for r in audited:
+                near = _distances(sim[a:b], sim[a + r]) <= radius
+                expected += int(near.sum()) - 1
+                found += int((label[near] == label[r]).sum()) - 1
     return links, found, expected
 
 
-def _thinned(links: set, n: int) -> list[tuple[int, int]]:
-    """As many of the links as connect the same."""
+def _roots(links, n: int) -> tuple[list[int], list[tuple[int, int]]]:
+    """A root of each of n nodes, and as many of the links as connect the same."""
     up = list(range(n))
 
     def root(i):
@@ -205,12 +121,21 @@ def _thinned(links: set, n: int) -> list[tuple[int, int]]:
         return i
 
     kept = []
-    for i, j in sorted(links):
+    for i, j in links:
         a, b = root(i), root(j)
         if a != b:
             up[b] = a
             kept.append((i, j))
-    return kept
+    return [root(i) for i in range(n)], kept
+
+
+def _labels(links: list, n: int) -> np.ndarray:
+    return np.array(_roots(links, n)[0])
+
+
+def _thinned(links: set, n: int) -> list[tuple[int, int]]:
+    """As many of the links as connect the same."""
+    return _roots(sorted(links), n)[1]
 
 
 def candidates(sigs: DataFrame, shard: int = SHARD) -> DataFrame:

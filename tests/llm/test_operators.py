@@ -160,6 +160,20 @@ def test_large_groups_are_searched_whole(spark):
     assert len(neardup._thinned(links, 300)) == 299
 
 
+def test_isolated_pairs_in_a_large_group_are_found():
+    """A group of texts that share much but aren't neighbours, with a few true pairs, beside many small families."""
+    rng = np.random.default_rng(3)
+    n = 4000
+    flip = lambda k, share: np.packbits(rng.random((k, 256)) < share, axis=1).view(np.uint64)
+    sim = flip(n, 0.25) ^ flip(1, 0.5)
+    pairs = rng.permutation(n)[:80].reshape(-1, 2)
+    sim[pairs[:, 1]] = sim[pairs[:, 0]] ^ flip(40, 0.11)
+    families = np.repeat(flip(2000, 0.5), 8, axis=0) ^ flip(16000, 0.02)
+    group = np.concatenate([np.zeros(n, np.int64), np.repeat(np.arange(1, 2001), 8)])
+    links, found, expected = neardup.shard_links(group, np.concatenate([sim, families]))
+    assert {tuple(sorted(p)) for p in pairs.tolist()} <= links and found == expected > 0
+
+
 def test_language(docs, corpus, empty):
     model = langid.train(docs, F.expr(TRAIN))
     got = {r.doc_id: r for r in langid.identify(docs, model, keep=keep()).collect()}
