@@ -16,7 +16,8 @@ A minhash shared by more than SHARD texts is cut in blocks, and each pair of blo
 Edge cases: null, empty and wordless texts are in a class of their own; equal texts are always in one class;
 a class is named by its least doc_id (null when it has none); ids may repeat or be null; an empty table gives
 an empty result. RADIUS leaves pairs at similarity 0.8 (39 differing bits expected, deviation 6) a chance of
-about 0.0005 to be missed, and less above.
+about 0.0005 to be missed, and less above. Few shingles tie and their bits differ more (48 expected where 4 of
+5 are shared), so a text of fewer than SHORT shingles has WIDE as its radius, 6 deviations above that.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from millrace.llm.components import components
 from millrace.llm.substrings import _rid, _with_rid
 
 SHINGLE, SIMILAR, ROUTES, RADIUS = 5, 0.8, 6, 58
+SHORT, WIDE = 64, 88
 SHARD = 20_000
 FAMILY_WORDS = 2_000_000
 
@@ -76,35 +78,42 @@ def _distances(sim: np.ndarray, one: np.ndarray) -> np.ndarray:
     return bits[:, 0].astype(np.int32) + bits[:, 1] + bits[:, 2] + bits[:, 3]
 
 
-def spread_links(sim: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def radii(n: np.ndarray) -> np.ndarray:
+    """The radius of texts of n shingles; of two texts the wider holds."""
+    return np.where(n < SHORT, WIDE, RADIUS)
+
+
+def spread_links(sim: np.ndarray, radius: int | np.ndarray) -> list[tuple[int, int]]:
     """Exact: links that connect whatever is connected within radius, by flooding; quadratic at worst."""
     left, rest, links = np.arange(len(sim)), sim, []  # rest: the rows of left, cut only when a link takes some
+    own = far = np.broadcast_to(radius, len(sim))
     while len(left):
-        front, left, rest = [int(left[0])], left[1:], rest[1:]
+        front, left, rest, far = [int(left[0])], left[1:], rest[1:], far[1:]
         while front and len(left):
             i = front.pop()
-            near = _distances(rest, sim[i]) <= radius
+            near = _distances(rest, sim[i]) <= np.maximum(far, own[i])
             if not near.any():
                 continue
             links += [(i, int(j)) for j in left[near]]
             front += left[near].tolist()
-            left, rest = left[~near], rest[~near]
+            left, rest, far = left[~near], rest[~near], far[~near]
     return links
 
 
-def shard_links(group: np.ndarray, sim: np.ndarray, radius: int = RADIUS, audit_every: int = 100) -> tuple[set[tuple[int, int]], int, int]:
+def shard_links(group: np.ndarray, sim: np.ndarray, radius: int | np.ndarray = RADIUS, audit_every: int = 100) -> tuple[set[tuple[int, int]], int, int]:
     """Links within radius that connect each group's texts (rows sorted by group), and the audit: connected neighbours of all."""
     links: set[tuple[int, int]] = set()
     found = expected = 0
+    radius = np.broadcast_to(radius, len(sim))
     cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
     for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
-        own = spread_links(sim[a:b], radius)
+        own = spread_links(sim[a:b], radius[a:b])
         links.update((a + min(i, j), a + max(i, j)) for i, j in own)
         audited = range(-a % audit_every, b - a, audit_every)
         if audited:
             label = _labels(own, b - a)
             for r in audited:
-                near = _distances(sim[a:b], sim[a + r]) <= radius
+                near = _distances(sim[a:b], sim[a + r]) <= np.maximum(radius[a:b], radius[a + r])
                 expected += int(near.sum()) - 1
                 found += int((label[near] == label[r]).sum()) - 1
     return links, found, expected
@@ -142,18 +151,18 @@ def candidates(sigs: DataFrame, shard: int = SHARD) -> DataFrame:
     """(a, b, found, expected): links that connect the texts within RADIUS; audit rows have null a and b."""
     spark = sigs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    routed = sigs.select("rid", "sim", F.explode("routes").alias("route"))
+    routed = sigs.select("rid", "sim", "n", F.explode("routes").alias("route"))
     sizes = routed.groupBy("route").count().where("count > 1")
     sized = routed.join(sizes, "route").withColumn("m", F.ceil(F.col("count") / shard).cast("int")).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("m")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")))
-    placed = sized.select("route", F.explode(pairs).alias("pair"), "rid", "sim").select("route", "pair.i", "pair.j", "rid", "sim")
+    placed = sized.select("route", F.explode(pairs).alias("pair"), "rid", "sim", "n").select("route", "pair.i", "pair.j", "rid", "sim", "n")
 
     def run(batches):
-        group, rid, sim, last, number = [], [], [], None, -1
+        group, rid, sim, size, last, number = [], [], [], [], None, -1
 
         def done() -> pa.RecordBatch:
             g, x, ids = np.concatenate(group), np.concatenate(sim), np.concatenate(rid)
-            links, found, expected = shard_links(g, x)
+            links, found, expected = shard_links(g, x, radii(np.concatenate(size)))
             kept = _thinned(links, len(ids))
             a = [int(ids[i]) for i, _ in kept] + [None]
             b = [int(ids[j]) for _, j in kept] + [None]
@@ -165,7 +174,7 @@ def candidates(sigs: DataFrame, shard: int = SHARD) -> DataFrame:
                 continue
             keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)])
             new = np.concatenate([[last is None or (keys[:, 0] != last).any()], (keys[:, 1:] != keys[:, :-1]).any(0)])
-            ids = batch.column(3).to_numpy()
+            ids, n = batch.column(3).to_numpy(), batch.column(5).to_numpy()
             bits = batch.column(4).values.to_numpy()[batch.column(4).offsets[0].as_py() :][: 4 * len(ids)].reshape(-1, 4).view(np.uint64)
             at = 0
             for cut in [*np.flatnonzero(new).tolist(), len(ids)]:
@@ -173,11 +182,12 @@ def candidates(sigs: DataFrame, shard: int = SHARD) -> DataFrame:
                     group.append(np.full(cut - at, number))
                     rid.append(ids[at:cut])
                     sim.append(bits[at:cut])
+                    size.append(n[at:cut])
                     total += cut - at
                 if cut < len(ids):
                     if total >= shard:
                         yield done()
-                        group, rid, sim, total = [], [], [], 0
+                        group, rid, sim, size, total = [], [], [], [], 0
                     number += 1
                 at = cut
             last = keys[:, -1]
@@ -188,15 +198,16 @@ def candidates(sigs: DataFrame, shard: int = SHARD) -> DataFrame:
     return placed.repartition(parts, "route", "i", "j").sortWithinPartitions("route", "i", "j").mapInArrow(run, "a long, b long, found long, expected long")
 
 
-def verified_links(rid: list[int], sim: np.ndarray, sets: list[np.ndarray], radius: int = RADIUS, similar: float = SIMILAR) -> list[tuple[int, int]]:
-    """Links that connect whatever is connected by similarity, among pairs within radius; exact similarity."""
+def verified_links(rid: list[int], sim: np.ndarray, sets: list[np.ndarray], similar: float = SIMILAR) -> list[tuple[int, int]]:
+    """Links that connect whatever is connected by similarity, among pairs within their radius; exact similarity."""
     left, links = np.arange(len(rid)), []
     sizes = np.array([len(s) for s in sets])
+    radius = radii(sizes)
     while len(left):
         front, left = [int(left[0])], left[1:]
         while front and len(left):
             i = front.pop(0)
-            near = np.bitwise_count(sim[left] ^ sim[i]).sum(1, dtype=np.int32) <= radius
+            near = np.bitwise_count(sim[left] ^ sim[i]).sum(1, dtype=np.int32) <= np.maximum(radius[left], radius[i])
             near &= (np.minimum(sizes[left], sizes[i]) >= similar * np.maximum(sizes[left], sizes[i]))
             some = left[near]
             if not len(some):

@@ -174,6 +174,13 @@ def test_isolated_pairs_in_a_large_group_are_found():
     assert {tuple(sorted(p)) for p in pairs.tolist()} <= links and found == expected > 0
 
 
+def test_short_texts_at_the_threshold(spark):
+    """8 words and the same with one more: 4 of 5 shingles."""
+    rows = [(2 * i + k, " ".join(f"w{i}x{j}" for j in range(8 + k)), "en", "s", 1, None, None, None) for i in range(300) for k in (0, 1)]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: i - i % 2 for i in range(600)}
+
+
 def test_language(docs, corpus, empty):
     model = langid.train(docs, F.expr(TRAIN))
     got = {r.doc_id: r for r in langid.identify(docs, model, keep=keep()).collect()}
