@@ -15,7 +15,7 @@ which are pre-aggregated, so no task holds such a group.
 Edge cases: null and empty texts have no words and keep none; texts shorter than the window keep all; equal
 rows are documents of their own and so repeat each other; windows of a text that repeat inside it count,
 overlapping ones too; an empty table gives an empty result. Rows are told apart by a hash of their text, so
-null or repeated ids do no harm.
+null or repeated ids do no harm; equal texts are searched once, each segment with its number of copies.
 """
 
 from __future__ import annotations
@@ -229,7 +229,7 @@ def _repeats(rows: DataFrame) -> DataFrame:
 
 
 def _shards(rows: DataFrame, size: int, block_words: int) -> DataFrame:
-    """(mh, content, rid, start) sorted by (mh, content) -> (rid, spans as a flat list of starts and ends)."""
+    """(mh, content, rid, start, copies) sorted by (mh, content) -> (rid, spans as a flat list of starts and ends)."""
 
     def run(batches):
         contents, counts, where, group, total = [], [], [], None, 0
@@ -244,16 +244,16 @@ def _shards(rows: DataFrame, size: int, block_words: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(spans, pa.list_(pa.int32()))], names=["rid", "spans"])
 
         for batch in batches:
-            for m, c, r, s in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for m, c, r, s, n in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if m != group and total > block_words:
                     yield done()
                     contents, counts, where, total = [], [], [], 0
                 if m == group and contents and contents[-1] == c:
-                    counts[-1] += 1
+                    counts[-1] += n
                     where[-1].append((r, s))
                 else:
                     contents.append(c)
-                    counts.append(1)
+                    counts.append(n)
                     where.append([(r, s)])
                     total += c.count(b" ") + 1
                 group = m
@@ -271,11 +271,12 @@ def spans(docs: DataFrame, *, text: str = "text", size: int = SIZE, hot: int = H
     found = store(_repeats(occurring), "segments")
     often = found.groupBy("mh").count().where(F.col("count") >= hot).select("mh", F.lit(True).alias("hot"))
     marked = found.join(often, "mh", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    by_text = marked.distinct().groupBy("rid").agg(F.collect_list(F.struct("start", "n", "mh", "hot")).alias("segments"))
-    placed = _with_rid(docs, text=text).withColumnsRenamed({"_rid": "rid", "_text": "text"}).join(by_text, "rid")
+    counted = marked.groupBy("rid", "start", "n", "mh", "hot").agg(F.count("*").alias("copies"))
+    by_text = counted.groupBy("rid").agg(F.collect_list(F.struct("start", "n", "mh", "hot", "copies")).alias("segments"))
+    placed = _with_rid(docs, text=text).withColumnsRenamed({"_rid": "rid", "_text": "text"}).dropDuplicates(["rid"]).join(by_text, "rid")
 
     def part(batch):
-        out = {"mh": [], "content": [], "rid": [], "start": [], "hot": []}
+        out = {"mh": [], "content": [], "rid": [], "start": [], "copies": [], "hot": []}
 
         def add(*row):
             for k, v in zip(out, row):
@@ -287,20 +288,20 @@ def spans(docs: DataFrame, *, text: str = "text", size: int = SIZE, hot: int = H
                 a = s["start"]
                 if s["hot"]:
                     for i in range(a, a + s["n"]):
-                        add(xxhash.xxh3_64_intdigest(b" ".join(words[i : i + size])) - (1 << 63), b"", r, i, True)
+                        add(xxhash.xxh3_64_intdigest(b" ".join(words[i : i + size])) - (1 << 63), b"", r, i, s["copies"], True)
                 else:
-                    add(s["mh"], b" ".join(words[a : a + s["n"] + size - 1]), r, a, False)
+                    add(s["mh"], b" ".join(words[a : a + s["n"] + size - 1]), r, a, s["copies"], False)
         yield out
 
-    rows = arrow_pass(placed.select("rid", "text", "segments"), part, "mh long, content binary, rid long, start int, hot boolean")
+    rows = arrow_pass(placed.select("rid", "text", "segments"), part, "mh long, content binary, rid long, start int, copies long, hot boolean")
     if often.limit(1).count():
         rows = store(rows, "contents")
         ones = rows.where("hot")
-        twice = ones.groupBy("mh").count().where("count >= 2").select("mh")
+        twice = ones.groupBy("mh").agg(F.sum("copies").alias("count")).where("count >= 2").select("mh")
         extra = ones.join(twice, "mh").select("rid", F.array(F.col("start"), (F.col("start") + size).cast("int")).alias("spans"))
     else:
         extra = None
-    cold = rows.where("NOT hot").select("mh", "content", "rid", "start").repartition(parts, "mh").sortWithinPartitions("mh", "content")
+    cold = rows.where("NOT hot").select("mh", "content", "rid", "start", "copies").repartition(parts, "mh").sortWithinPartitions("mh", "content")
     got = _shards(cold, size, block_words)
     if extra is not None:
         got = got.unionByName(extra)

@@ -389,6 +389,16 @@ def test_repeated_passages(spark, size, hot, block, empty):
     assert substrings.remove(empty, keep={"doc_id": F.col("doc_id")}).count() == 0
 
 
+@pytest.mark.parametrize("hot", [10**9, 3])
+def test_spans_of_copies_are_gathered_once(spark, hot):
+    texts = [" ".join(f"w{i}" for i in range(100))] * 50 + [" ".join(f"v{i}" for i in range(60))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = substrings.spans(df, hot=hot).collect()
+    assert len(found) == 1 and 0 < len(found[0].spans) <= 100
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.remove(df, keep={"doc_id": F.col("doc_id")}, hot=hot).collect()}
+    assert got == {i: (100, 100) for i in range(50)} | {50: (60, 0)}
+
+
 def test_fm_index_counts():
     rng = np.random.default_rng(0)
     t = np.concatenate([rng.integers(1, 5, 300), [0]]).astype(np.int32)
