@@ -3,25 +3,30 @@
 Document i of a source has words w_i. Among the copy rates whose words sum to the source's target, those are
 sought that stay closest in entropy to one copy each: rate_i = exp(lambda * x_i), at most MOST, where x_i is
 w_i over the source's mean size. The convex dual in lambda is one equation for each source. Newton steps with
-a bracket solve all of them at once: each step is one aggregate over a table of (source, size, documents),
-which is all the steps read, so the texts are read once and a hot source is counted before any shuffle.
+a bracket solve all of them at once, until every source has converged: each step is one aggregate over a table
+of (source, size, documents), which is all the steps read, so the texts are read once and a hot source is
+counted before any shuffle. The bracket is known beforehand: at log(2) / the least x all rates are MOST, and at
+-log(size / target) / the least x the words are no more than the target. Every third step halves it, so
+STEPS, at which the search is given up with an error, is out of reach.
 Rates become copies by systematic rounding: running sums of rates, largest documents first, are rounded, so a
-source's copies never drift, and what is left of the target goes to the size that fits it best; inside a size the copies left over go to the documents first in hash order, found
-by counts of hash buckets rather than by a sort of the whole group.
+source's copies never drift, and what is left of the target goes to the size that fits it best; inside a size
+the copies left over go to the documents first in hash order, found by counts of hash buckets rather than by a
+sort of the whole group. `copies_of` joins the plan to the rows and repeats each as often as it says.
 
 Edge cases: a null text has size 0; null sources are one source, sorted last; documents without words take 0;
 without any words all targets are 0; repeated rows are documents of their own, ties between fully equal rows
-are even. Sums that decide copies are decimals, so that reruns agree.
+are even. Sums that decide copies are decimals, so that reruns agree. Columns of documents may have any name: the
+plan has none but its own and the key, and copies_of leaves out those of its columns that documents have.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from millrace.llm.common import store
+from millrace.llm.common import discard, store
 
 MOST = 2.0
-STEPS = 14
+STEPS = 200
 BUCKET = 20_000  # documents of one size to a hash bucket
 
 
@@ -54,39 +59,70 @@ def _rate(lam: Column, x: Column) -> Column:
     return F.exp(F.least(lam * x, F.lit(0.6931471805599453)))
 
 
-def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: str = "doc_id", extra: tuple[str, ...] = ()) -> DataFrame:
-    """docs -> key, extra columns, source, size, source_size, target, rate, copies, taken."""
-    counted = docs.select(F.col(key).alias("k"), *[F.col(c).alias(f"x_{c}") for c in extra], F.col(source).alias("source"), words(F.col(text)).alias("size"))
-    counted = store(counted.withColumn("h", F.xxhash64("k", "size", F.lit(5))), "sizes")
-    cells = store(counted.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
-    sizes = store(targets(cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))), "targets")
-    means = cells.where("size > 0").groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"), F.max("size").alias("longest"))
-    same = sizes["source"].eqNullSafe(means["source"])
-    state = sizes.join(means, same, "left").select(sizes["source"], "source_size", "target", "mean", F.lit(0.0).alias("lam"), (F.lit(-60.0)).alias("low"), F.lit(60.0).alias("high"))
-    # at both bounds the answer is known: nothing to take, or two of everything
-    state = state.withColumn("done", (F.col("target") <= 0) | (F.col("target") >= MOST * F.col("source_size") * (1 - 1e-12)))
-    state = store(state, "state")
-    full_cells = store(cells.where("size > 0").join(state.select("source", "mean").withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "n", (F.col("size") / F.col("mean")).alias("x")), "tilted")
-    for _ in range(STEPS):
+def solved(cells: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(source, source_size, target, mean, lam, done): the dual's solution for each source.
+
+    cells: (source, size, n); sizes: (source, source_size, target). Where nothing is to be taken, or twice
+    everything, lam is never asked for.
+    """
+    own = cells.where("size > 0").groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"), F.min("size").alias("least"))
+    least, ln2 = F.col("least") / F.col("mean"), 0.6931471805599453
+    low = F.least(F.lit(0.0), -F.log(F.try_divide(F.col("source_size"), F.col("target"))) / least) - 1e-9
+    at_bound = (F.col("target") <= 0) | (F.col("target") >= MOST * F.col("source_size") * (1 - 1e-12))
+    state = sizes.join(own.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
+    state = store(state.select("source", "source_size", "target", "mean", F.lit(0.0).alias("lam"), low.alias("low"), (ln2 / least + 1e-9).alias("high"), (at_bound | F.col("mean").isNull()).alias("done")), "state")
+    tilted = cells.where("size > 0").join(state.select(F.col("source").alias("s"), "mean"), F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "n", (F.col("size") / F.col("mean")).alias("x"))
+    tilted = store(tilted, "tilted")
+    for step in range(STEPS):
+        if not state.where("NOT done").limit(1).count():
+            return state
         at = state.where("NOT done").select(F.col("source").alias("s"), "lam")
-        joined = full_cells.join(at, F.col("source").eqNullSafe(F.col("s")))
+        joined = tilted.join(at, F.col("source").eqNullSafe(F.col("s")))
         rate = _rate(F.col("lam"), F.col("x"))
         words_ = (F.col("n") * F.col("size")).cast("double")
-        free = F.col("lam") * F.col("x") < 0.6931471805599453
+        free = F.col("lam") * F.col("x") < ln2
         exact = "decimal(38,6)"
         sums = joined.groupBy("source").agg(F.sum((words_ * rate).cast(exact)).cast("double").alias("f"), F.sum(F.when(free, words_ * rate * F.col("x")).otherwise(0.0).cast(exact)).cast("double").alias("slope"))
-        sums = sums.withColumnRenamed("source", "s")
-        moved = state.join(sums, F.col("source").eqNullSafe(F.col("s")), "left")
+        moved = state.join(sums.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
         gap = F.col("f") - F.col("target")
         low, high = F.when(gap < 0, F.col("lam")).otherwise(F.col("low")), F.when(gap > 0, F.col("lam")).otherwise(F.col("high"))
         newton = F.col("lam") - F.try_divide(gap, F.col("slope"))
-        inside = (newton > low) & (newton < high)
-        # bisect on a scale that suits both tiny and large multipliers when Newton leaves the bracket
-        step = F.when(inside, newton).otherwise((low + high) / 2)
-        near = F.abs(gap) <= 1e-9 * F.col("target") + 1e-9
-        state = store(moved.select("source", "source_size", "target", "mean", F.when(F.col("f").isNull() | near, F.col("lam")).otherwise(F.round(step, 12)).alias("lam"), F.coalesce(low, "low").alias("low"), F.coalesce(high, "high").alias("high"), (F.col("done") | F.col("f").isNull() | near).alias("done")), "state")
-        if not state.where("NOT done").limit(1).count():
-            break
+        inside = (newton > low) & (newton < high) & F.lit(step % 3 != 2)
+        onward = F.when(inside, newton).otherwise((low + high) / 2)
+        settled = (F.abs(gap) <= 1e-9 * F.col("target") + 1e-9) | (high - low <= 1e-11 * F.greatest(F.lit(1.0), F.abs("lam")))
+        over = F.col("done") | settled
+        new = moved.select("source", "source_size", "target", "mean", F.when(over, F.col("lam")).otherwise(F.round(onward, 12)).alias("lam"), F.coalesce(low, "low").alias("low"), F.coalesce(high, "high").alias("high"), over.alias("done"))
+        before, state = state, store(new, "state")
+        discard(before)
+    raise RuntimeError(f"the dual of the mix hasn't converged in {STEPS} steps")
+
+
+def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
+    """docs -> key, source, size, source_size, target, rate, copies, taken."""
+    return _plan(docs.select(F.lit(None).cast("long").alias("row"), *_narrow(text, source, key))).select(F.col("k").alias(key), "source", "size", "source_size", "target", "rate", "copies", "taken")
+
+
+def copies_of(docs: DataFrame, *, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
+    """The mix itself: all columns of docs, each row as often as it was given copies, with copy (from 1), copies,
+    size, source_size, target and rate, but for those that docs have as columns of their own."""
+    rows = store(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "rows")
+    plan = _plan(rows.select("row", *_narrow(f"doc.`{text}`", f"doc.`{source}`", f"doc.`{key}`"))).where("copies > 0")
+    made = rows.join(plan.withColumnRenamed("row", "at"), F.col("row") == F.col("at")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    added = [c for c in ("copy", "copies", "size", "source_size", "target", "rate") if c not in docs.columns]
+    return made.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns], *added)
+
+
+def _narrow(text: str, source: str, key: str) -> list[Column]:
+    """k, source, size and a hash of key and text that orders a size's documents."""
+    return [F.col(key).alias("k"), F.col(source).alias("source"), words(F.col(text)).alias("size"), F.xxhash64(F.col(key), F.col(text), F.lit(5)).alias("h")]
+
+
+def _plan(narrow: DataFrame) -> DataFrame:
+    """row, k, source, size, source_size, target, rate, copies, taken of each row of narrow."""
+    counted = store(narrow, "sizes")
+    cells = store(counted.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
+    sizes = store(targets(cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))), "targets")
+    state = solved(cells, sizes)
     final = state.select(F.col("source").alias("s"), "source_size", "target", "mean", "lam")
     rate = F.when(F.col("size") == 0, 0.0).when(F.col("target") <= 0, 0.0).when(F.col("target") >= MOST * F.col("source_size") * (1 - 1e-12), MOST).otherwise(_rate(F.col("lam"), F.col("size") / F.col("mean")))
     rated = cells.join(final, F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "n", "source_size", "target", F.round(rate, 9).cast("decimal(18,9)").alias("rate"))
@@ -109,10 +145,10 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: str
     per = placed.where("left > 0").groupBy("source", "size", "bucket").agg(F.count("*").alias("m"))
     per = per.withColumn("before", F.sum("m").over(Window.partitionBy("source", "size").orderBy("bucket")) - F.col("m"))
     per = store(per, "buckets").select(F.col("source").alias("ps"), F.col("size").alias("pz"), F.col("bucket").alias("pb"), "before")
-    w = Window.partitionBy("source", "size", "bucket").orderBy("h", "k")
+    w = Window.partitionBy("source", "size", "bucket").orderBy("h", "row")
     some = placed.where("left > 0").join(per, F.col("source").eqNullSafe(F.col("ps")) & (F.col("size") == F.col("pz")) & (F.col("bucket") == F.col("pb"))).withColumn("place", F.col("before") + F.row_number().over(w))
-    columns = ["k", *[f"x_{c}" for c in extra], "source", "size", "source_size", "target", "rate", "copies"]
+    columns = ["row", "k", "source", "size", "source_size", "target", "rate", "copies"]
     whole = placed.where("left <= 0").withColumn("copies", F.col("each")).select(columns)
     part = some.withColumn("copies", F.col("each") + (F.col("place") <= F.col("left")).cast("long")).select(columns)
-    both = whole.unionByName(part)
-    return both.select(F.col("k").alias(key), *[F.col(f"x_{c}").alias(c) for c in extra], "source", "size", "source_size", F.col("target").cast("double").alias("target"), F.col("rate").cast("double").alias("rate"), F.least("copies", F.lit(2)).alias("copies"), (F.least("copies", F.lit(2)) * F.col("size")).alias("taken"))
+    copies = F.least("copies", F.lit(2))
+    return whole.unionByName(part).select("row", "k", "source", "size", "source_size", F.col("target").cast("double").alias("target"), F.col("rate").cast("double").alias("rate"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))
