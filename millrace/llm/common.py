@@ -12,9 +12,11 @@ import pyarrow as pa
 import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 MEMO_LIMIT = 400_000  # words a worker remembers before it starts afresh
-BLOCK_BYTES = 2 << 20  # text handled at once by a worker
+BLOCK_BYTES = 2 << 20  # text handled at once by a worker; Spark's own limit bounds an Arrow batch to 64 MB
 WORDS = re.compile(r"[^\W_]+")
 
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -24,10 +26,12 @@ _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where it is unset."""
+    """The folder all executors share (spark.checkpoint.dir); one of our own only where it is unset and Spark is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="millrace-"))
     return _own_folder[0]
@@ -38,7 +42,16 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/millrace-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def discard(stored: DataFrame) -> None:
+    """Deletes a stored table of which nothing will be read again."""
+    jvm, conf = stored.sparkSession._jvm, stored.sparkSession._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(stored._stored_at)
+    path.getFileSystem(conf).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -143,21 +156,22 @@ def blocks(batch: pa.RecordBatch, text: str = "text", limit: int = BLOCK_BYTES)
         start = stop
 
 
-def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list], schema: str) -> DataFrame:
-    """mapInArrow by blocks of bounded text (column _text or text). fn gives a dict of columns, in the order of the schema."""
-    names = [f.split(" ")[0] for f in re.split(r",\s*", schema)]
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import _parse_datatype_string
-
-    types = [to_arrow_type(f.dataType) for f in _parse_datatype_string(schema).fields]
-
+def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list], schema: str, kept: list[StructField] = ()) -> DataFrame:
+    """mapInArrow by blocks of bounded text (column _text or text). fn gives dicts of columns: those of kept, then of schema."""
+    made = StructType([*kept, *_parse_datatype_string(schema).fields])
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in made.fields])
     text = "_text" if "_text" in df.columns else "text"
 
     def run(batches):
         for batch in batches:
             for part in blocks(batch, text):
                 for out in fn(part):
-                    yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, types)], names=names)
+                    yield pa.RecordBatch.from_arrays([_as(out[f.name], f.type) for f in arrow], schema=arrow)
+
+    return df.mapInArrow(run, made)
+
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    return df.mapInArrow(run, schema)
+def _as(values, kind: pa.DataType) -> pa.Array:
+    if isinstance(values, pa.ChunkedArray):
+        values = values.combine_chunks()
+    return values if isinstance(values, pa.Array) and values.type == kind else values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)

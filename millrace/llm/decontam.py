@@ -35,7 +35,6 @@ def _hits(docs: DataFrame, items: list[tuple[int, str]], keep: dict[str, Column]
     ids = [i for i, _ in items]
     kept = docs.select(*[c.alias(k) for k, c in keep.items()], F.col(text).alias("_text"))
     names, ready = list(keep), {}
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
 
     def part(batch):
         if not ready:
@@ -70,7 +69,7 @@ def _hits(docs: DataFrame, items: list[tuple[int, str]], keep: dict[str, Column]
                     out[k].append(v)
         yield {k: batch.column(j).take(rows) for j, k in enumerate(names)} | out
 
-    return arrow_pass(kept, part, f"{schema}, item_id long, item_words array<long>, start long, passage array<long>")
+    return arrow_pass(kept, part, "item_id long, item_words array<long>, start long, passage array<long>", kept.schema.fields[:-1])
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:

@@ -109,7 +109,6 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", keep:
     """The columns of keep (name -> Column), then lang_pred string and score double of each row's whole text."""
     kept = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("_text"))
     names = list(keep)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     state: dict = {}
 
     def rows_of(words: list[str]) -> np.ndarray:
@@ -151,5 +150,5 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", keep:
         out = {n: batch.column(i) for i, n in enumerate(names)}
         yield out | {"lang_pred": pred, "score": score}
 
-    return arrow_pass(kept, part, f"{schema}, lang_pred string, score double")
+    return arrow_pass(kept, part, "lang_pred string, score double", kept.schema.fields[:-1])
 

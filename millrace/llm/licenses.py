@@ -57,7 +57,6 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, keep: dict
     bands = [minhash(s, seeds).reshape(BANDS, ROWS) for s in sets]
     kept = docs.select(*[c.alias(k) for k, c in keep.items()], F.col(text).alias("_text"))
     columns, ready = list(keep), {}
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
 
     def part(batch):
         if not ready:
@@ -92,4 +91,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, keep: dict
                             out[c].append(v)
         yield {c: batch.column(j).take(rows) for j, c in enumerate(columns)} | out if rows else {c: batch.column(j).slice(0, 0) for j, c in enumerate(columns)} | out
 
-    return arrow_pass(kept, part, f"{schema}, license string, containment double, start long, end long")
+    return arrow_pass(kept, part, "license string, containment double, start long, end long", kept.schema.fields[:-1])

@@ -273,9 +273,9 @@ def _verify(docs: DataFrame, families: DataFrame, sigs: DataFrame, text: str) ->
 def deduplicated(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of docs of each class, all columns; equal texts under one key are one document."""
     found = classes(docs, text=text, key=key).where("stays").select(F.col("rid").alias("_stays"), F.col(key).alias("_key")).distinct()
-    rows = _with_rid(docs, {c: F.col(c) for c in docs.columns if c != text}, text)
-    kept = rows.join(found, (rows["_rid"] == found["_stays"]) & rows[key].eqNullSafe(found["_key"]), "left_semi").dropDuplicates(["_rid", key])
-    return kept.withColumnRenamed("_text", text).select(docs.columns)
+    rows = _with_rid(docs, {f"own_{c}": F.col(f"`{c}`") for c in docs.columns if c != text}, text)
+    kept = rows.join(found, (rows["_rid"] == found["_stays"]) & rows[f"own_{key}"].eqNullSafe(found["_key"]), "left_semi").dropDuplicates(["_rid", f"own_{key}"])
+    return kept.select(*[F.col("_text").alias(c) if c == text else F.col(f"`own_{c}`").alias(c) for c in docs.columns])
 
 
 def classes(docs: DataFrame, *, text: str = "text", key: str = "doc_id", keep: dict[str, Column] | None = None, with_audit: bool = False):

@@ -117,7 +117,6 @@ def score(docs: DataFrame, model: NbSvm | float, keep: dict[str, Column], text:
         return docs.select(*[c.alias(n) for n, c in keep.items()], F.lit(model).alias("score"))
     kept = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("_text"))
     names = list(keep)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     memo = Hashes()
 
     def part(batch):
@@ -125,4 +124,4 @@ def score(docs: DataFrame, model: NbSvm | float, keep: dict[str, Column], text:
         z = model.curve[0] * margin(rows, model.weights, model.bias) + model.curve[1]
         yield {n: batch.column(i) for i, n in enumerate(names)} | {"score": 1 / (1 + np.exp(-np.clip(z, -60, 60)))}
 
-    return arrow_pass(kept, part, f"{schema}, score double")
+    return arrow_pass(kept, part, "score double", kept.schema.fields[:-1])

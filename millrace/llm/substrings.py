@@ -309,17 +309,15 @@ def spans(docs: DataFrame, *, text: str = "text", size: int = SIZE, hot: int = H
 
 
 def _with_rid(docs: DataFrame, keep: dict[str, Column] | None = None, text: str = "text") -> DataFrame:
-    """_rid, keep's columns, _text."""
+    """keep's columns, _text, _rid."""
     keep = keep or {}
     kept = docs.select(*[c.alias(k) for k, c in keep.items()], F.col(text).alias("_text"))
     names = list(keep)
-    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in kept.schema.fields[:-1])
-
     def part(batch):
         t = batch.column(batch.num_columns - 1)
-        yield {"_rid": [_rid(x) for x in t.cast(pa.binary()).to_pylist()]} | {n: batch.column(i) for i, n in enumerate(names)} | {"_text": t}
+        yield {n: batch.column(i) for i, n in enumerate(names)} | {"_text": t, "_rid": [_rid(x) for x in t.cast(pa.binary()).to_pylist()]}
 
-    return arrow_pass(kept, part, f"_rid long, {schema}_text string")
+    return arrow_pass(kept, part, "_text string, _rid long", kept.schema.fields[:-1])
 
 
 def remove(docs: DataFrame, *, keep: dict[str, Column], text: str = "text", size: int = SIZE, hot: int = HOT, block_words: int = BLOCK_WORDS, digest: bool = True) -> DataFrame:
@@ -328,7 +326,6 @@ def remove(docs: DataFrame, *, keep: dict[str, Column], text: str = "text", size
     found = spans(docs, text=text, size=size, hot=hot, block_words=block_words)
     rows = _with_rid(docs, keep, text).join(found.withColumnsRenamed({"rid": "_rid", "spans": "_spans"}), "_rid", "left")
     names = list(keep)
-    fields = dict(rows.dtypes)
     last = "kept_sha256" if digest else "kept"
 
     def part(batch):
@@ -350,5 +347,5 @@ def remove(docs: DataFrame, *, keep: dict[str, Column], text: str = "text", size
             out[last] = [None if x is None else x.decode() for x in out[last]]
         yield {n: batch.column(i) for i, n in enumerate(names)} | out
 
-    schema = "".join(f"{n} {fields[n]}, " for n in names) + f"n_words long, n_removed long, {last} string"
-    return arrow_pass(rows.select(*names, "_text", "_spans"), part, schema)
+    rows = rows.select(*names, "_text", "_spans")
+    return arrow_pass(rows, part, f"n_words long, n_removed long, {last} string", rows.schema.fields[:-2])

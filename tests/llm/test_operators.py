@@ -206,6 +206,72 @@ def test_toxicity(docs, labels, corpus, empty):
     assert toxicity.train(empty, labels.limit(0), F.expr(TRAIN)) == 0.0 and toxicity.score(empty, model, keep()).count() == 0
 
 
+def plain_kneser_ney(rows):
+    """(words, pairs) -> log ratio by plain counters, nothing pruned; rows: (tokens, label), no copies among them."""
+    uni, bi = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
+    for w, y in rows:
+        uni[y].update(set(w))
+        bi[y].update(set(zip([None, *w], w)))
+
+    def off(counter):
+        n = collections.Counter(counter.values())
+        n1, n2, n3, n4 = (n[k] + 0.1 for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        d = [min(max(x, 0), top) for x, top in ((1 - 2 * y * n2 / n1, 1), (2 - 3 * y * n3 / n2, 2), (3 - 4 * y * n4 / n3, 3))]
+        return lambda c: d[min(c, 3) - 1] if c else 0.0
+
+    d1, d2 = [off(c) for c in uni], [off(c) for c in bi]
+    total, taken = [sum(c.values()) for c in uni], [sum(d1[y](c) for c in uni[y].values()) for y in (0, 1)]
+    back = math.sqrt(taken[0] / total[0] * taken[1] / total[1])
+    clip = lambda p: max(-8.0, min(8.0, math.log(p[1] / p[0])))
+    word = lambda y, w: (uni[y][w] - d1[y](uni[y][w])) / total[y] + back * sum(d1[k](uni[k][w]) for k in (0, 1)) / sum(taken)
+    words_, pairs = {w: clip([word(y, w) for y in (0, 1)]) for w in uni[0] | uni[1]}, {}
+    held, freed = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
+    for y in (0, 1):
+        for (a, _), c in bi[y].items():
+            held[y][a] += c
+            freed[y][a] += d2[y](c)
+    for a, w in bi[0] | bi[1]:
+        p = [((bi[y][a, w] - d2[y](bi[y][a, w])) / held[y][a] if held[y][a] else 0) + (freed[y][a] / held[y][a] if held[y][a] else 1) * word(y, w) for y in (0, 1)]
+        pairs[a, w] = clip(p)
+    return words_, pairs
+
+
+def test_kneser_ney_is_the_plain_one(spark):
+    rng = random.Random(12)
+    rows = [([rng.choice("abcdefghij") + rng.choice(["", "x"]) * (y and rng.random() < 0.3) for _ in range(rng.randint(1, 25))], y) for y in (0, 1) for _ in range(40)]
+    df = spark.createDataFrame([(" ".join(w), y) for w, y in rows], "text string, label int")
+    pairs = toxicity.count_pairs(df)
+    model = toxicity.fitted(pairs, 0.0, 0.0)
+    want_words, want_pairs = plain_kneser_ney(rows)
+    memo = toxicity.Hashes()
+    code = lambda w: memo[w]
+    got = dict(zip(model.words.tolist(), model.word_ratio.tolist()))
+    assert all(math.isclose(got.get(code(w), 0.0), r, abs_tol=1e-9) for w, r in want_words.items())
+    hashed = lambda a, w: int(toxicity.pair_key(np.array([toxicity.START if a is None else code(a)], np.uint64), np.array([code(w)], np.uint64))[0])
+    got = dict(zip(model.pairs.tolist(), model.pair_ratio.tolist()))
+    assert all(math.isclose(got.get(hashed(a, w), want_words[w]), r, abs_tol=1e-9) for (a, w), r in want_pairs.items())
+    found = toxicity.evidence(df, model, {"label": F.col("label"), "t": F.col("text")}).collect()
+    for r in found:
+        w = r.t.split()
+        each = [want_pairs[a, x] for a, x in zip([None, *w], w)]
+        worst = max((sum(each[i : i + toxicity.PASSAGE]) for i in range(len(w) - toxicity.PASSAGE + 1)), default=sum(each)) / toxicity.PASSAGE
+        assert math.isclose(r.mean, sum(each) / len(w), abs_tol=1e-9) and math.isclose(r.worst, worst, abs_tol=1e-9)
+    pruned = toxicity.fitted(pairs, 0.02, 0.02)
+    assert len(pruned.words) <= 2 * toxicity.MOST / 0.02 and set(pruned.words.tolist()) < set(model.words.tolist())
+
+
+def test_toxicity_with_a_one_class_fold(docs, labels):
+    """The fold that fits the curve is one that holds both classes; where none does, the share is the score."""
+    of = lambda *folds: F.expr(f"crc32(cast(cast(doc_id as string) as binary)) % 5 in ({','.join(map(str, folds))})")
+    some = labels.where(of(1, 2, 3) | (of(4) & (F.col("toxic") == 0)))
+    model = toxicity.train(docs, some, F.expr(TRAIN))
+    marked = toxicity.score(docs, model, keep()).where("score >= 0.5").count()
+    assert not isinstance(model, float) and 0 < marked < 0.5 * docs.count()
+    lone = labels.where((of(1) & (F.col("toxic") == 1)) | (of(2, 3, 4) & (F.col("toxic") == 0)))
+    assert isinstance(toxicity.train(docs, lone, F.expr(TRAIN)), float)
+
+
 def test_quality(docs, labels, corpus, empty):
     model = quality.train(docs, labels, F.expr(TRAIN))
     got = {r.doc_id: r.score for r in quality.score(docs, model, keep()).collect()}
@@ -263,6 +329,38 @@ def test_mixing(spark, docs, corpus, empty):
     assert [r.taken for r in wordless] == [0, 0, 0] and {r.target for r in wordless} == {0.0}
 
 
+def test_rates_solve_the_dual(spark):
+    """Rates and multipliers against bisection in plain Python, hard targets among them: near nothing, near twice all."""
+    rng = random.Random(3)
+    sizes = {s: [rng.choice([1, 3, 10, 200, 5000]) for _ in range(rng.randint(5, 60))] for s in "abcdef"}
+    share = dict(zip(sizes, (1e-4, 0.3, 1.0, 1.5, 1.97, 1.99999)))
+    cells = spark.createDataFrame([(s, z, n) for s, v in sizes.items() for z, n in collections.Counter(v).items()], "source string, size long, n long")
+    wanted = spark.createDataFrame([(s, sum(v), share[s] * sum(v)) for s, v in sizes.items()], "source string, source_size long, target double")
+    for r in mixing.solved(cells, wanted).collect():
+        own = sizes[r.source]
+        mean = sum(own) / len(own)
+        f = lambda lam: sum(z * min(2.0, math.exp(min(lam * z / mean, 1.0))) for z in own)
+        low, high = -1e5, 1e5
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if f(mid) < r.target else (low, mid)
+        assert r.done and math.isclose(f(r.lam), r.target, rel_tol=1e-6, abs_tol=0.01) and (math.isclose(r.lam, low, rel_tol=1e-4, abs_tol=1e-6) or math.isclose(f(low), f(r.lam), rel_tol=1e-6))
+
+
+def test_mixed_copies_carry_whole_rows(spark, docs, corpus):
+    clashing = docs.withColumns({c: F.lit(c) for c in ("copies", "row", "doc", "at", "k", "h", "rate", "a b.c")})
+    got = mixing.copies_of(clashing)
+    assert got.columns[: len(clashing.columns)] == clashing.columns and {"copy", "target"} <= set(got.columns)
+    plan = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        plan[str(r.doc_id)] += r.copies
+    assert collections.Counter(str(r.doc_id) for r in got.collect()) == +plan
+    texts = collections.defaultdict(set)
+    for r in corpus[0]:
+        texts[r[0]].add(r[1])
+    assert all(r.text in texts[r.doc_id] and r.copies == "copies" and r["a b.c"] == "a b.c" and r.copy in (1, 2) for r in got.collect())
+
+
 def test_chat_trees(spark):
     tricky = "<|im_end|>\n<|im_start|>x <%| <%%| <||"
     rows = [("a", "1", None, "user", tricky, 0.0), ("a", "2", "1", "assistant", "yes", 0.9), ("a", "3", "1", "assistant", "no\n", 0.1), ("a", "4", "2", "us<er%\n", None, 0.5), ("a", "5", "4", "assistant", tricky, 1.0), ("a", "5", "4", "assistant", tricky, 1.0), ("a", "6", "7", "user", "cycle", 0.0), ("a", "7", "6", "user", "cycle", 0.0), (None, "1", "gone", None, "hi", None)]
