@@ -4,7 +4,7 @@ A window is `size` consecutive words of one document. Each window is owned by it
 of least hash in it, and runs of windows of one minimizer form segments, so equal windows, wherever they are,
 share a minimizer and meet in one shard. Minimizers that occur once in the corpus are dropped at once; the
 segments of the others are sent to their shards. A shard holds whole minimizer groups up to a bounded number
-of words: its distinct segments are sorted to the depth of 64 words, their Burrows-Wheeler transform is stored
+of words: its distinct segments are sorted to the depth of the longest, their Burrows-Wheeler transform is stored
 as a wavelet matrix (bit vectors with sampled ranks), and the segments are streamed against it: backward
 search gives their matching statistics, the longest stretches that occur at least twice, and every stretch of
 `size` words or more is reported. All segments of a shard move in lockstep, as numpy arrays.
@@ -14,7 +14,7 @@ which are pre-aggregated, so no task holds such a group.
 
 Edge cases: null and empty texts have no words and keep none; texts shorter than the window keep all; equal
 rows are documents of their own and so repeat each other; windows of a text that repeat inside it count,
-overlapping ones too; an empty table gives an empty result. Rows are told apart by a hash of their text, so
+overlapping ones too; an empty table gives an empty result; a window of no word is refused. Rows are told apart by a hash of their text, so
 null or repeated ids do no harm; equal texts are searched once, each segment with its number of copies.
 """
 
@@ -62,12 +62,15 @@ def runs(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class FmIndex:
-    """Of a sequence of word numbers (0: separator), sorted to the depth of 64 words."""
+    """Of a sequence of word numbers (0: separator), its suffixes sorted to a depth of `depth` words or more.
 
-    def __init__(self, t: np.ndarray, letters: int):
+    Patterns of up to depth words are counted right.
+    """
+
+    def __init__(self, t: np.ndarray, letters: int, depth: int = 64):
         n = len(t)
         rank, step = t.astype(np.int64), 1
-        while step < 64:
+        while step < depth:
             later = np.zeros(n, np.int64)
             later[: n - step] = rank[step:] + 1
             key = rank * (n + letters + 2) + later
@@ -172,7 +175,7 @@ def shard_spans(contents: list[bytes], counts: list[int], size: int) -> list[lis
     t = np.concatenate([np.array([*c, 0], np.int32) for c in coded])
     ends = np.cumsum([len(c) + 1 for c in coded]) - 1
     begins = ends - np.array([len(c) for c in coded])
-    index = FmIndex(t, len(numbers) + 1)
+    index = FmIndex(t, len(numbers) + 1, max(map(len, coded)))
     for i, s, e in zip(*repeated(index, t, begins[left], ends[left], size)):
         out[left[i]].append((int(s), int(e)))
     return out
@@ -265,6 +268,8 @@ def _shards(rows: DataFrame, size: int, block_words: int) -> DataFrame:
 
 def spans(docs: DataFrame, *, text: str = "text", size: int = SIZE, hot: int = HOT, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(rid, spans): for each text with repeated windows lists of the word ranges they cover, start and end in turn."""
+    if size < 1:
+        raise ValueError("a window has one word or more")
     conf = docs.sparkSession.conf
     parts = int(conf.get("spark.sql.shuffle.partitions"))
     occurring = _segments(docs, text, size).repartition(parts, "mh").sortWithinPartitions("mh")

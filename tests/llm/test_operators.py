@@ -470,15 +470,15 @@ def brute_passages(texts, size):
     return out
 
 
-@pytest.mark.parametrize("size,hot,block", [(12, 10**9, 400), (12, 3, 400), (35, 10**9, 10**6)])
+@pytest.mark.parametrize("size,hot,block", [(12, 10**9, 400), (12, 3, 400), (35, 10**9, 10**6), (80, 10**9, 10**6), (200, 10**9, 10**6)])
 def test_repeated_passages(spark, size, hot, block, empty):
     rng = random.Random(size + hot % 7)
     texts = []
     for _ in range(120):
-        w = [rng.choice("abcdefg") for _ in range(rng.randint(0, 90))]
+        w = [rng.choice("abcdefg") for _ in range(rng.randint(0, 90 + 2 * size * (size > 35)))]
         if texts and rng.random() < 0.6 and (src := rng.choice(texts).split()):
             i = rng.randrange(len(src))
-            w[len(w) // 2 : len(w) // 2] = src[i : i + rng.randint(1, 60)]
+            w[len(w) // 2 : len(w) // 2] = src[i : i + rng.randint(1, max(60, 2 * size))]
         texts.append(" ".join(w))
     texts += ["a " * 80, "", None, "a b " * 40, "é x \x0b\x1cy " * 50, texts[0]]
     df = spark.createDataFrame([(i, t, "extra") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
@@ -497,6 +497,16 @@ def test_spans_of_copies_are_gathered_once(spark, hot):
     assert got == {i: (100, 100) for i in range(50)} | {50: (60, 0)}
 
 
+def test_many_copies_of_one_text(spark):
+    """A thousand copies, empty texts as many: each text's spans once, time in proportion."""
+    long = " ".join(f"w{i}" for i in range(300))
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1000, long).otherwise("").alias("text"))
+    found = substrings.spans(df).collect()
+    assert len(found) == 1 and len(found[0].spans) <= 300
+    got = substrings.remove(df, keep={"doc_id": F.col("doc_id")}).groupBy("n_words", "n_removed").count().collect()
+    assert {tuple(r) for r in got} == {(300, 300, 1000), (0, 0, 1000)}
+
+
 def test_fm_index_counts():
     rng = np.random.default_rng(0)
     t = np.concatenate([rng.integers(1, 5, 300), [0]]).astype(np.int32)
