@@ -460,6 +460,38 @@ def test_licenses(spark, empty):
         licenses.scan(df, {"none": "..."})
 
 
+def test_licenses_against_every_window(spark):
+    """Every template against every window, by sets of words; copies damaged to both sides of the threshold, and mixed."""
+    rng = random.Random(14)
+    filler = lambda: [rng.choice("alpha beta gamma delta the of software license".split()) for _ in range(rng.randint(0, 60))]
+    texts = []
+    for _ in range(150):
+        w = filler()
+        for name in rng.sample(sorted(licenses.TEMPLATES), rng.randint(0, 2)):
+            own = licenses.TEMPLATES[name].split()
+            w += [x if rng.random() > rng.choice([0, 0.01, 0.03, 0.06]) else "edited" for x in own] + filler()
+        texts.append(" ".join(w))
+    got = {(r.doc_id, r.license): (r.containment, r.start, r.end) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        words_ = tokens(t)
+        for name, template in licenses.TEMPLATES.items():
+            own = tokens(template)
+            n = min(5, len(own))
+            cut = lambda w: [tuple(w[j : j + n]) for j in range(len(w) - n + 1)]  # noqa: B023,E731
+            grams, here = set(cut(own)), cut(words_)
+            top = licenses.reach(len(grams))
+            size, step = max(1, top * 3 // 2), max(1, top // 4)
+            for s in range(0, len(here), step):
+                c = len(grams & set(here[s : s + size])) / len(grams)
+                if c >= 0.8 and c > want.get((i, name), (0,))[0]:
+                    want[i, name] = c, s, min(s + size + n - 1, len(words_))
+    assert len(want) > 60 and got.keys() == want.keys()
+    assert all(math.isclose(got[k][0], want[k][0]) and got[k][1:] == want[k][1:] for k in want)
+    worst = 0.8 / (1.5 * licenses.STEP + 0.2)
+    assert (1 - worst**licenses.ROWS) ** licenses.BANDS < 1e-4 and all(licenses.reach(n) <= max(n + 1, 1.25 * n + 1) for n in range(1, 400))
+
+
 def brute_passages(texts, size):
     split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
     n = collections.Counter(tuple(w[i : i + size]) for w in split for i in range(len(w) - size + 1))
