@@ -2,13 +2,18 @@
 
 Test items are cut into n-grams of words (lower-cased runs of ASCII letters, digits and other than ASCII
 signs). Documents are read once against them; the passage round each cluster of shared n-grams is kept as
-word hashes. Every shared n-gram is a seed, however many documents hold it. Each distinct passage of an item
-is aligned once, for all documents that have it, to the item (match +1, other word -1, gap -1), and the score
-is the best local alignment over the item's words.
+word hashes. Every shared n-gram is a seed, however many documents hold it: leaks raise the frequency of an
+item's own n-grams, so a limit on it would lose the edited copies of what leaked most. What an n-gram's rarity
+would spare is spared by a bound instead: an alignment's score is at most the number of words (repeats counted)
+that passage and item have in common, so passages with fewer than the threshold asks for, which is nearly all
+that share a common phrase only, are dropped before they leave their task. Each distinct passage of an item is
+aligned once, for all documents that have it, to the item (match +1, other word -1, gap -1), and the score is
+the best local alignment over the item's words.
 
 Edge cases: null and empty texts, and items of fewer than n words, match nothing; an item that occurs several
 times in a document gives one row, its best passage (the first of equals); repeated rows give repeated results;
-the items are read in blocks of bounded size, so the driver and the workers never hold more than one block.
+the items are read in blocks of bounded size, so the driver and the workers never hold more than one block;
+item ids may be of any type; columns that are kept may have any name but those that are added.
 """
 
 from __future__ import annotations
@@ -17,13 +22,21 @@ from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DataType, StructField
 
-from millrace.llm.common import Filter64, Hashes, arrow_pass, crossing, store, tokens, windows
+from millrace.llm.common import Filter64, Hashes, arrow_pass, crossing, in_sorted, store, tokens, windows
 
 BLOCK_MB = 16
 
 
-def _hits(docs: DataFrame, items: list[tuple[int, str]], keep: dict[str, Column], text: str, n: int) -> DataFrame:
+def in_common(item: np.ndarray, passage: np.ndarray) -> int:
+    """How many words item and passage have in common, repeats counted."""
+    words, n = np.unique(item, return_counts=True)
+    at = in_sorted(passage, words)
+    return int(np.minimum(n, np.bincount(at[at >= 0], minlength=len(words))).sum())
+
+
+def _hits(docs: DataFrame, items: list[tuple], kind: DataType, keep: dict[str, Column], text: str, n: int, threshold: float) -> DataFrame:
     memo = Hashes()
     words = [memo.of(tokens(t)) for _, t in items]
     grams = [windows(w, n) for w in words]
@@ -64,12 +77,14 @@ def _hits(docs: DataFrame, items: list[tuple[int, str]], keep: dict[str, Column]
             cut = [0, *(k for k in range(1, len(ps)) if ps[k] - ps[k - 1] > reach), len(ps)]
             for a, b in zip(cut, cut[1:]):
                 s, e = max(low, ps[a] - reach), min(high, ps[b - 1] + n + reach)
+                if in_common(words[i], h[s:e]) < threshold * reach:
+                    continue
                 rows.append(r)
                 for k, v in (("item_id", ids[i]), ("item_words", words[i].view(np.int64)), ("start", s - low), ("passage", h[s:e].view(np.int64))):
                     out[k].append(v)
         yield {k: batch.column(j).take(rows) for j, k in enumerate(names)} | out
 
-    return arrow_pass(kept, part, "item_id long, item_words array<long>, start long, passage array<long>", kept.schema.fields[:-1])
+    return arrow_pass(kept, part, "item_words array<long>, start long, passage array<long>", [*kept.schema.fields[:-1], StructField("item_id", kind)])
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -104,16 +119,18 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 def find_leaks(docs: DataFrame, items: DataFrame, *, keep: dict[str, Column] | None = None, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = 4, threshold: float = 0.5) -> DataFrame:
     """(keep's columns, item_id, score, start, end): passages of docs that align to items at threshold or above."""
     keep = keep or {"doc_id": F.col("doc_id")}
-    sized = items.where(F.col(item_text).isNotNull() & F.col(item).isNotNull()).select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t")).distinct()
+    sized = items.where(F.col(item_text).isNotNull() & F.col(item).isNotNull()).select(F.col(item).alias("i"), F.col(item_text).alias("t")).distinct()
     mb = (sized.agg(F.sum(F.octet_length("t"))).first()[0] or 0) / 1e6
-    parts = 1 + int(mb // BLOCK_MB)
+    parts, kind = 1 + int(mb // BLOCK_MB), sized.schema["i"].dataType
     found = None
     for k in range(parts):
         block = [(r[0], r[1]) for r in sized.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).orderBy("i", "t").collect()]
-        hits = _hits(docs, block, keep, text, n)
+        hits = _hits(docs, block, kind, keep, text, n, threshold)
         found = hits if found is None else found.unionByName(hits)
     hits = store(found, "passages")
-    chosen = hits.select("item_id", "item_words", "passage").distinct()
+    # few rows with much work each: spread over all tasks by number, which AQE doesn't coalesce
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chosen = hits.select("item_id", "item_words", "passage").distinct().repartition(tasks, "item_id", "passage")
 
     def part(batch):
         words, passages = batch.column(2), batch.column(3)
@@ -122,7 +139,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, keep: dict[str, Column] | N
         yield {"item_id": batch.column(0), "item_words": words, "passage": passages, "score": score, "first": [g[1] for g in got], "last": [g[2] for g in got]}
 
     own = ["item_id", "item_words", "passage"]
-    aligned = arrow_pass(chosen.select("item_id", F.lit("").alias("text"), "item_words", "passage"), part, "item_id long, item_words array<long>, passage array<long>, score double, first long, last long")
+    aligned = arrow_pass(chosen.select("item_id", F.lit("").alias("text"), "item_words", "passage"), part, "item_words array<long>, passage array<long>, score double, first long, last long", [StructField("item_id", kind)])
     leaks = aligned.where(F.col("score") >= threshold).select(*[F.col(c).alias(f"_{c}") for c in (*own, "score", "first", "last")])
     same = [F.col(c) == F.col(f"_{c}") for c in own]
     placed = hits.join(leaks, same).select(*keep, "item_id", F.col("_score"), (F.col("start") + F.col("_first")).alias("_from"), (F.col("start") + F.col("_last")).alias("_to"))

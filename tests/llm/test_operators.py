@@ -409,6 +409,38 @@ def test_decontamination(spark, docs, empty):
     assert decontam.find_leaks(df, items.limit(0)).count() == 0 and decontam.find_leaks(empty, items).count() == 0
 
 
+def test_leaks_against_aligning_everything(spark):
+    """Each document against each item by the plain recurrence; items of any id, clashing columns."""
+    rng = random.Random(21)
+    items = {f"item {k}": [rng.choice("the of a in to".split()) if rng.random() < 0.4 else f"v{rng.randrange(300)}" for _ in range(rng.randint(6, 40))] for k in range(12)}
+    rows = []
+    for i in range(150):
+        w = [rng.choice("the of a in to".split()) if rng.random() < 0.4 else f"v{rng.randrange(300)}" for _ in range(rng.randint(0, 50))]
+        if rng.random() < 0.7:
+            own = [x for x in rng.choice(list(items.values())) if rng.random() > rng.choice([0, 0.05, 0.2, 0.4])]
+            at = rng.randint(0, len(w))
+            w[at:at] = [x if rng.random() > 0.05 else "other" for x in own]
+        rows.append((i, " ".join(w), 0, 0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, score int, passage int")
+    asked = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id string, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.find_leaks(df, asked).collect()}
+
+    def plain(a, b):
+        h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                h[i + 1][j + 1] = max(0, h[i][j] + (1 if a[i] == b[j] else -1), h[i][j + 1] - 1, h[i + 1][j] - 1)
+        return max(map(max, h)) / len(a)
+
+    want = {(i, k): s for i, t, *_ in rows for k, w in items.items() if (s := plain(w, t.split())) >= 0.5}
+    both = got.keys() & want.keys()
+    assert len(want) > 50 and not got.keys() - want.keys() and len(both) >= 0.97 * len(want)
+    assert all(math.isclose(got[k], want[k]) for k in both)
+    # what is missed has no n-gram of the item left
+    grams = lambda w: {tuple(w[i : i + 4]) for i in range(len(w) - 3)}
+    assert all(not grams(items[k]) & grams(rows[i][1].split()) for i, k in want.keys() - got.keys())
+
+
 def test_edited_copy_of_a_common_leak(spark):
     """An item that leaked everywhere, and one copy that holds none but its most frequent n-grams."""
     item = [f"w{i}" for i in range(43)]
