@@ -9,21 +9,29 @@ are kept, which estimates how alike two texts' phrases are.
 
 Edge cases: null counts as empty; an empty text has the empty fingerprint, alike (1.0) to an empty one only;
 equal texts have equal fingerprints and likeness 1.0; documents are ordered by id, null first, ties by text,
-repeated rows included; a single document is its own next one; an empty table gives an empty result.
+repeated rows included; a single document is its own next one; an empty table gives an empty result; ids may be
+numbers, dates, times or text, by code point. Ties of one id are spread over tasks by the beginning of their texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import os
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, DateType, NumericType, StringType, StructField, StructType, TimestampType, _parse_datatype_string
 
 from millrace.llm.common import K1, K2, mix
 
 KEPT = {2: 32, 3: 24, 4: 8}  # level -> hashes kept
 CHUNK = 1 << 20  # characters parsed at once
+MOST_BUCKETS, TIES = 20_000, 100  # buckets by key; buckets of one frequent key, by text
+LEAST = -1.7976931348623157e308
 
 
 def _level(x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,18 +109,58 @@ def likeness(a: dict[int, np.ndarray], b: dict[int, np.ndarray]) -> float:
     return total / len(KEPT)
 
 
+def _number(c: Column, kind: DataType, skip: int = 0) -> Column:
+    """A double that grows with the column, never null: numbers as they are, others by six bytes of their text, the first skip passed over."""
+    if isinstance(kind, NumericType):
+        n = c.cast("double")
+    elif isinstance(kind, (TimestampType, DateType)):
+        n = c.cast("timestamp").cast("double")
+    else:
+        n = F.conv(F.rpad(F.hex(F.substring(c.cast("string").cast("binary"), skip + 1, 6)), 12, "0"), 16, 10).cast("double")
+    return F.coalesce(n, F.lit(LEAST))
+
+
+def _place(cuts: list[tuple[float, float]], k: Column, t: Column) -> Column:
+    """How many of the sorted cuts are at or before (k, t), by two steps of about the root of their number each."""
+    if not cuts:
+        return F.lit(0)
+    width = math.isqrt(len(cuts)) + 1
+    shelves = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    as_json = lambda rows: "[" + ",".join(f'{{"k":{a!r},"t":{b!r}}}' for a, b in rows) + "]"
+    one, all_ = "array<struct<k:double,t:double>>", "array<array<struct<k:double,t:double>>>"
+    heads = F.from_json(F.lit(as_json([s[0] for s in shelves])), one)
+    inside = F.from_json(F.lit("[" + ",".join(map(as_json, shelves)) + "]"), all_)
+    upto = lambda c: (c["k"] < k) | ((c["k"] == k) & (c["t"] <= t))
+    shelf = F.size(F.filter(heads, upto))
+    return F.when(shelf == 0, 0).otherwise((shelf - 1) * width + F.size(F.filter(F.try_element_at(inside, F.greatest(shelf, F.lit(1))), upto)))
+
+
+def _cuts(rows: DataFrame, n: int, bucket_rows: int) -> list[tuple[float, float]]:
+    """Where buckets begin, of about bucket_rows rows each and MOST_BUCKETS at most, by key number and, for keys
+    that fill several buckets by themselves (null ids, ties), by the beginning of the text."""
+    parts = min(MOST_BUCKETS, n // bucket_rows)
+    if parts < 2:
+        return []
+    found = rows.approxQuantile("k", [i / parts for i in range(1, parts)], 0.1 / parts)
+    cuts = {(k, 0.0) for k in found}
+    if hot := [k for k, m in Counter(found).items() if m > 1]:
+        at = [i / TIES for i in range(1, TIES)]
+        one_key = (F.count("key") == 0) | ((F.count("key") == F.count("*")) & (F.min("key") == F.max("key")))  # else k is only about the key
+        for r in rows.where(F.col("k").isin(hot)).groupBy("k").agg(F.percentile_approx("t", at, 10 * TIES).alias("ts"), one_key.alias("one")).collect():
+            cuts |= {(r["k"], t) for t in r["ts"]} if r["one"] else set()
+    return sorted(cuts)
+
+
 def _ordered(docs: DataFrame, text: str, key: str, bucket_rows: int) -> DataFrame:
     """Rows (bucket, guard, key, text) in partitions sorted by all; guard rows repeat the first of the next bucket."""
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = docs.count()
-    parts = max(1, n // bucket_rows)
-    cuts = sorted(set(docs.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    bucket = F.lit(0)
-    if cuts:
-        found = F.array(*map(F.lit, cuts))
-        bucket = F.coalesce(F.size(F.filter(found, lambda c: c <= F.col("key"))), F.lit(0))
-        bucket = F.when(F.col("key").isNull(), 0).otherwise(bucket)
-    rows = rows.withColumn("bucket", bucket)
+    kind, skip = rows.schema["key"].dataType, 0
+    if not isinstance(kind, (NumericType, TimestampType, DateType)):
+        ends = [str(x).encode() for x in rows.agg(F.min("key"), F.max("key")).first()]
+        skip = len(os.path.commonprefix(ends))  # what the least and the greatest share, all do
+    k, t = _number(F.col("key"), kind, skip), _number(F.col("text"), StringType())
+    cuts = _cuts(rows.select("key", k.alias("k"), t.alias("t")), docs.count(), bucket_rows)
+    rows = rows.withColumn("bucket", _place(cuts, k, t))
     first = rows.groupBy("bucket").agg(F.min(F.struct(F.col("key").isNotNull(), "key", "text")).alias("f"))
     order = first.select("bucket").withColumn("before", F.lag("bucket").over(Window.orderBy("bucket"))).withColumn("last", F.max("bucket").over(Window.partitionBy()))
     guards = first.join(order, "bucket").select(F.coalesce("before", "last").alias("bucket"), F.lit(1).alias("guard"), F.col("f.key").alias("key"), F.col("f.text").alias("text"))
@@ -122,8 +170,6 @@ def _ordered(docs: DataFrame, text: str, key: str, bucket_rows: int) -> DataFram
 def fingerprint(docs: DataFrame, *, text: str = "text", key: str = "doc_id", bucket_rows: int = 4000) -> DataFrame:
     """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each document."""
     rows = _ordered(docs, text, key, bucket_rows)
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    kind = dict(rows.dtypes)["key"]
 
     def run(batches):
         kept: list[tuple] = []  # (guard, key, text), the last of which has no next row yet
@@ -156,9 +202,7 @@ def fingerprint(docs: DataFrame, *, text: str = "text", key: str = "doc_id", buc
         if len(kept) > 1:
             yield done(kept)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    schema = f"{key} {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    names = [c.split(" ")[0] for c in schema.split(", ")]
-    types = [to_arrow_type(rows.schema["key"].dataType), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    made = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = StructType([StructField(key, rows.schema["key"].dataType), *_parse_datatype_string(made).fields])
+    names, types = schema.names, [to_arrow_type(f.dataType) for f in schema.fields]
     return rows.mapInArrow(run, schema)

@@ -1,6 +1,7 @@
 """Each corpus operator against a brute-force version, and on nulls, empty texts, ties, repeated rows, extra columns and empty tables."""
 
 import collections
+import datetime
 import hashlib
 import math
 import random
@@ -468,6 +469,70 @@ def test_fingerprints(spark, docs, corpus, empty):
     assert one.near_next == 1.0
 
 
+@pytest.mark.parametrize("kind", ["long", "string", "date"])
+def test_order_of_documents_of_any_id(spark, kind):
+    """A third of the ids null, another third one id, text ids that share their beginnings."""
+    rng = random.Random(4)
+    of = {"long": lambda i: 2**60 + (i if i < 300 else i * 2**40), "string": lambda i: f"document-{i:04}é"[: 3 + i % 15], "date": lambda i: datetime.date(1960, 1, 1) + datetime.timedelta(37 * i)}[kind]
+    rows = [(None if i % 3 == 0 else of(7) if i % 3 == 1 else of(i), f"{rng.choice('abcz')}{rng.randrange(10**6)} {i}") for i in range(600)]
+    got = fingerprints.fingerprint(spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(5), bucket_rows=20)
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or of(0), r[1]))
+    texts = [t for _, t in rows]
+    want = collections.Counter((i, hashlib.sha256((t[: len(t) - len(t) // 2] + u[: len(t) // 2]).encode()).hexdigest()) for (i, t), u in zip(rows, texts[1:] + texts[:1]))
+    assert collections.Counter((r.doc_id, r.edited_sha256) for r in got.collect()) == want
+
+
+def plain_sketch(text):
+    """Locally consistent parsing of one text by plain loops over Python integers."""
+    top = (1 << 64) - 1
+    k1, k2 = int(fingerprints.K1), int(fingerprints.K2)
+
+    def mixed(x):
+        x = (x ^ (x >> 29)) * k2 & top
+        return x ^ (x >> 32)
+
+    names, out = [ord(c) for c in text], {}
+    for level in (1, 2, 3, 4):
+        runs = []
+        for x in names:
+            if runs and runs[-1][0] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        names = [mixed((x * k1 + n) & top) if n > 1 else x for x, n in runs]
+        labels = names
+        for _ in range(4):
+            new = []
+            for i, c in enumerate(labels):
+                before = labels[i - 1] if i else c ^ 1
+                d = (before ^ c) or 1
+                low = (d & -d).bit_length() - 1
+                new.append(2 * low + (c >> low & 1))
+            labels = new
+        phrases = []
+        for i, c in enumerate(labels):
+            if i == 0 or (c > labels[i - 1] and (i + 1 == len(labels) or c >= labels[i + 1])):
+                phrases.append([])
+            phrases[-1].append(names[i])
+        names = [mixed(sum(mixed((x + j * k2) & top) for j, x in enumerate(p)) & top) for p in phrases]
+        if level in fingerprints.KEPT:
+            out[level] = sorted({mixed(x ^ level) >> 32 for x in names})[: fingerprints.KEPT[level]]
+    return out
+
+
+def test_parsing_is_the_plain_one():
+    rng = random.Random(31)
+    texts = ["".join(rng.choice("ab c" if k % 2 else "abcdefghé\U0001f600 ") for _ in range(rng.choice([1, 2, 5, 40, 300, 6000]))) for k in range(80)]
+    texts += ["a" * 500, "ab" * 300, "x"]
+    prints = [{k: v.tolist() for k, v in p.items()} for p in fingerprints.sketches(texts)]
+    plain = [plain_sketch(t) for t in texts]
+    assert prints == plain
+    for i in range(len(texts) - 1):
+        a, b = plain[i], plain[i + 1]
+        want = sum(len(set(sorted(set(a[k]) | set(b[k]))[:n]) & set(a[k]) & set(b[k])) / len(sorted(set(a[k]) | set(b[k]))[:n]) for k, n in fingerprints.KEPT.items()) / len(fingerprints.KEPT)
+        assert math.isclose(fingerprints.likeness(*(fingerprints.decode(fingerprints.encode({k: np.array(v, np.uint32) for k, v in p.items()})) for p in (a, b))), want)
+
+
 def test_equal_substrings_share_interior_phrases():
     rng = random.Random(8)
     inner = "".join(rng.choice("abcdefgh éñ") for _ in range(3000))
