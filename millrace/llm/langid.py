@@ -60,11 +60,11 @@ def _counts(df: DataFrame, text: str, lang: str) -> DataFrame:
     return found.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, train_on: Column, *, text: str = "text", lang: str = "lang", key: str = "doc_id", quota: int = 250, min_count: int = 2, max_n: int = 4, max_grams: int = 30_000) -> LanguageModel:
+def train(docs: DataFrame, train_on: Column, *, text: str = "text", lang: str = "lang", key: str = "doc_id", quota: int = 250, min_count: int = 2, max_n: int = 4) -> LanguageModel:
     """Fits the model on rows of docs where train_on holds and lang is not null.
 
     quota: documented bound of the training sample, rows for each language (expected; chosen by a hash of
-    the key). max_grams: n-grams kept of each length, the most frequent.
+    the key). All words of min_count and all n-grams of the sample are in the model.
     """
     rows = docs.where(train_on & F.col(lang).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
@@ -91,9 +91,7 @@ def train(docs: DataFrame, train_on: Column, *, text: str = "text", lang: str =
         m = np.zeros((len(ids), len(langs)))
         for k in range(len(langs)):
             m[:, k] = np.bincount(at[:, 0], weights=counts[at[:, 1], k], minlength=len(ids))
-        keys = list(ids)
-        order = sorted(range(len(keys)), key=lambda i: (-m[i].sum(), keys[i]))[:max_grams]
-        return [keys[i] for i in order], m[order]
+        return list(ids), m
 
     often = np.flatnonzero(counts.sum(1) >= min_count)
     known, word_scores = logs([str(names[i]) for i in often], counts[often])

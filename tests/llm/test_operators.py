@@ -207,6 +207,47 @@ def test_toxicity(docs, labels, corpus, empty):
     assert toxicity.train(empty, labels.limit(0), F.expr(TRAIN)) == 0.0 and toxicity.score(empty, model, keep()).count() == 0
 
 
+def test_language_scores_are_the_plain_ones(docs, corpus):
+    """Counts, smoothing and backoff by dictionaries, over the same training texts."""
+    model = langid.train(docs, F.expr(TRAIN), quota=10**6)
+    letters = re.compile(r"[^\W\d_]+")
+    train = [r for r in corpus[0] if r[0] is not None and r[1] and r[2] and zlib.crc32(str(r[0]).encode()) % 5]
+    langs = sorted({r[2] for r in train})
+    n = {k: collections.Counter() for k in langs}
+    for r in train:
+        n[r[2]].update(letters.findall(r[1].lower()))
+    often = {w for w in set().union(*n.values()) if sum(c[w] for c in n.values()) >= 2}
+    words_total = {k: sum(n[k][w] for w in often) for k in langs}
+    grams = {k: {s: collections.Counter() for s in (1, 2, 3, 4)} for k in langs}
+    for k in langs:
+        for w, c in n[k].items():
+            for s in (1, 2, 3, 4):
+                for i in range(len(w) + 3 - s):
+                    grams[k][s][f"^{w}$"[i : i + s]] += c
+    kinds = {s: set().union(*(grams[k][s] for k in langs)) for s in (1, 2, 3, 4)}
+
+    def word_score(w, k):
+        if w in often:
+            return math.log((n[k][w] + 0.5) / (words_total[k] + 0.5 * len(often)))
+        own, p = [], f"^{w}$"
+        for i in range(len(p)):
+            for s in (4, 3, 2, 1):
+                if i + s <= len(p) and p[i : i + s] in kinds[s]:
+                    own.append(math.log((grams[k][s][p[i : i + s]] + 0.5) / (sum(grams[k][s].values()) + 0.5 * len(kinds[s]))))
+                    break
+        return sum(own) / max(1, len(own))
+
+    for r in langid.identify(docs, model, keep={"t": F.col("text")}).collect():
+        w = letters.findall((r.t or "").lower())[:]
+        sums = [sum(word_score(x, k) for x in w) for k in langs] if len(w) < 1000 else None
+        if not w:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        elif sums:
+            assert r.lang_pred == langs[max(range(len(langs)), key=lambda i: sums[i])]
+            assert math.isclose(r.score, 1 / sum(math.exp(min(0, s - max(sums))) for s in sums), rel_tol=1e-3)
+    assert [model.langs[int(i)] for i in (model.backoff("zzrivière").argmax(), model.backoff("thewalk").argmax())] == ["fr", "en"]
+
+
 def plain_kneser_ney(rows):
     """(words, pairs) -> log ratio by plain counters, nothing pruned; rows: (tokens, label), no copies among them."""
     uni, bi = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
@@ -284,6 +325,25 @@ def test_quality(docs, labels, corpus, empty):
     assert quality.train(docs, labels.where("quality = 1"), F.expr(TRAIN)) == 1.0
 
 
+def test_support_vectors_are_the_plain_ones():
+    """Log-count ratios by loops and the dual by projected gradient on the whole Gram matrix."""
+    rng = np.random.default_rng(8)
+    rows = [np.unique(rng.integers(0, 24, rng.integers(0, 9))).astype(np.uint32) for _ in range(60)]
+    y = np.array([int(rng.random() < (0.8 if 3 in r else 0.3)) for r in rows])
+    w, b = quality.fit(rows, y, 5, gap=1e-9)
+    count = lambda k, v: 1.0 + sum(k in r for r, t in zip(rows, y) if t == v)
+    total = [sum(count(k, v) for k in range(32)) for v in (0, 1)]
+    ratio = np.array([math.log(count(k, 1) / total[1]) - math.log(count(k, 0) / total[0]) for k in range(32)])
+    x = np.array([[ratio[k] / math.sqrt(max(1, len(r))) if k in r else 0.0 for k in range(32)] + [1.0] for r in rows])
+    sign = np.where(y == 1, 1.0, -1.0)
+    gram = (x @ x.T) * np.outer(sign, sign)
+    dual, step = np.zeros(60), 1 / np.linalg.eigvalsh(gram)[-1]
+    for _ in range(200_000):
+        dual = np.clip(dual - step * (gram @ dual - 1), 0, 1)
+    want = x.T @ (dual * sign)
+    assert np.allclose(quality.margin(rows, w, b), x @ want, atol=1e-3)
+
+
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(3)
     rows = [np.unique(np.concatenate([rng.integers(8, 200, 10), [k % 2]])).astype(np.uint32) for k in range(200)]
