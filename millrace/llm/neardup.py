@@ -1,17 +1,20 @@
 """Near-duplicate classes by SimHash within minhash groups.
 
 1. Each distinct text gets a 256-bit SimHash of its set of word 5-grams (the whole text when shorter; words as
-   in `tokens`) and ROUTES minhashes of the same set. Two texts of similarity 0.8 share a minhash with
-   probability 1 - 0.2**6 = 0.99994, so minhashes are the addresses: a text is entered, and asks, in the shards
-   of its own minhashes only, which keeps the work linear in the number of texts.
-2. A shard holds whole minhash groups, SHARD texts or a little more. Each group is searched exactly, by flooding:
-   whatever of it is connected by links within RADIUS is linked.
-3. A sample of the texts is audited: all of a text's neighbours in its group must be connected to it.
+   in `tokens`), ROUTES minhashes of the same set and as many more for crowded addresses. Two texts of similarity
+   0.8 share one of the ROUTES with probability 1 - 0.2**6 = 0.99994, so minhashes are the addresses: a text is
+   entered, and asks, in the shards of its own minhashes only, which keeps the work linear in the number of texts.
+2. A minhash that more than SHARD texts share (a passage that many documents hold) is no address: its texts go to
+   the addresses that it makes with each of their further minhashes, which again two texts of similarity 0.8
+   share one of with probability 0.99994. What is still crowded then is cut in blocks, each pair of blocks a shard.
+3. A shard holds whole groups, SHARD texts or a little more. Each group is searched exactly, by flooding: whatever
+   of it is connected by links within RADIUS is linked. A small-world graph in its place finds too little unless
+   its beam is so wide that it costs more than the exact search (figures in the README).
 4. Texts linked within RADIUS form families. A family's shingle sets meet in one task (in blocks, pairwise, if
    they are large), where links are verified by exact Jaccard similarity; a pair already connected needs none.
 5. Components of the verified links, over equal texts, are the classes.
-
-A minhash shared by more than SHARD texts is cut in blocks, and each pair of blocks is a shard of its own.
+6. `audit` compares a sample of texts with all others, whatever their addresses and distance in bits, and tells how
+   many of the true pairs are in one class.
 
 Edge cases: null, empty and wordless texts are in a class of their own; equal texts are always in one class;
 a class is named by its least doc_id (null when it has none); ids may repeat or be null; an empty table gives
@@ -36,7 +39,7 @@ SHARD = 20_000
 FAMILY_WORDS = 2_000_000
 
 _SALTS = mix(np.arange(1, 5, dtype=np.uint64) * K1)
-_ROUTE_SALTS = mix(np.arange(11, 11 + ROUTES, dtype=np.uint64) * K1)
+_ROUTE_SALTS = mix(np.arange(11, 11 + 2 * ROUTES, dtype=np.uint64) * K1)
 
 
 def shingle_set(h: np.ndarray) -> np.ndarray:
@@ -57,20 +60,21 @@ def simhash(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(rid, n, sim array<long>, routes array<long>) of each distinct text with words."""
+    """(rid, n, sim array<long>, routes array<long>, further array<long>) of each distinct text with words."""
     memo = Hashes()
 
     def part(batch):
-        out = {"rid": [], "n": [], "sim": [], "routes": []}
+        out = {"rid": [], "n": [], "sim": [], "routes": [], "further": []}
         for raw, t in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(0).to_pylist()):
             s = shingle_set(memo.of(tokens(t))) if t else ()
             if len(s):
-                for k, v in zip(out, (_rid(raw), len(s), simhash(s).view(np.int64), [int(mix(s ^ r).min().view(np.int64)) for r in _ROUTE_SALTS])):
+                least = [int(mix(s ^ r).min().view(np.int64)) for r in _ROUTE_SALTS]
+                for k, v in zip(out, (_rid(raw), len(s), simhash(s).view(np.int64), least[:ROUTES], least[ROUTES:])):
                     out[k].append(v)
         yield out
 
-    found = arrow_pass(docs.select(F.col(text).alias("text")), part, "rid long, n int, sim array<long>, routes array<long>")
-    return found.groupBy("rid").agg(F.first("n").alias("n"), F.first("sim").alias("sim"), F.first("routes").alias("routes"))
+    found = arrow_pass(docs.select(F.col(text).alias("text")), part, "rid long, n int, sim array<long>, routes array<long>, further array<long>")
+    return found.groupBy("rid").agg(*[F.first(c).alias(c) for c in ("n", "sim", "routes", "further")])
 
 
 def _distances(sim: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -100,23 +104,14 @@ def spread_links(sim: np.ndarray, radius: int | np.ndarray) -> list[tuple[int, i
     return links
 
 
-def shard_links(group: np.ndarray, sim: np.ndarray, radius: int | np.ndarray = RADIUS, audit_every: int = 100) -> tuple[set[tuple[int, int]], int, int]:
-    """Links within radius that connect each group's texts (rows sorted by group), and the audit: connected neighbours of all."""
+def shard_links(group: np.ndarray, sim: np.ndarray, radius: int | np.ndarray = RADIUS) -> set[tuple[int, int]]:
+    """Links within radius that connect each group's texts (rows sorted by group)."""
     links: set[tuple[int, int]] = set()
-    found = expected = 0
     radius = np.broadcast_to(radius, len(sim))
     cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
     for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
-        own = spread_links(sim[a:b], radius[a:b])
-        links.update((a + min(i, j), a + max(i, j)) for i, j in own)
-        audited = range(-a % audit_every, b - a, audit_every)
-        if audited:
-            label = _labels(own, b - a)
-            for r in audited:
-                near = _distances(sim[a:b], sim[a + r]) <= np.maximum(radius[a:b], radius[a + r])
-                expected += int(near.sum()) - 1
-                found += int((label[near] == label[r]).sum()) - 1
-    return links, found, expected
+        links.update((a + min(i, j), a + max(i, j)) for i, j in spread_links(sim[a:b], radius[a:b]))
+    return links
 
 
 def _roots(links, n: int) -> tuple[list[int], list[tuple[int, int]]]:
@@ -138,21 +133,23 @@ def _roots(links, n: int) -> tuple[list[int], list[tuple[int, int]]]:
     return [root(i) for i in range(n)], kept
 
 
-def _labels(links: list, n: int) -> np.ndarray:
-    return np.array(_roots(links, n)[0])
-
-
 def _thinned(links: set, n: int) -> list[tuple[int, int]]:
     """As many of the links as connect the same."""
     return _roots(sorted(links), n)[1]
 
 
 def candidates(sigs: DataFrame, shard: int = SHARD) -> DataFrame:
-    """(a, b, found, expected): links that connect the texts within RADIUS; audit rows have null a and b."""
+    """(a, b): links that connect the texts within RADIUS."""
     spark = sigs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    routed = sigs.select("rid", "sim", "n", F.explode("routes").alias("route"))
-    sizes = routed.groupBy("route").count().where("count > 1")
+    routed = sigs.select("rid", F.explode("routes").alias("route"))
+    first = routed.groupBy("route").count()
+    crowded = routed.join(first.where(F.col("count") > shard).select("route"), "route").join(sigs.select("rid", "further"), "rid")
+    second = crowded.select("rid", F.explode("further").alias("other"), "route").select("rid", F.xxhash64("route", "other").alias("route"))
+    second = store(second, "second")
+    routed = routed.unionByName(second)
+    sizes = first.where((F.col("count") > 1) & (F.col("count") <= shard)).unionByName(second.groupBy("route").count().where("count > 1"))
+    routed = routed.join(sigs.select("rid", "sim", "n"), "rid")
     sized = routed.join(sizes, "route").withColumn("m", F.ceil(F.col("count") / shard).cast("int")).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("m")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")))
     placed = sized.select("route", F.explode(pairs).alias("pair"), "rid", "sim", "n").select("route", "pair.i", "pair.j", "rid", "sim", "n")
@@ -162,11 +159,8 @@ def candidates(sigs: DataFrame, shard: int = SHARD) -> DataFrame:
 
         def done() -> pa.RecordBatch:
             g, x, ids = np.concatenate(group), np.concatenate(sim), np.concatenate(rid)
-            links, found, expected = shard_links(g, x, radii(np.concatenate(size)))
-            kept = _thinned(links, len(ids))
-            a = [int(ids[i]) for i, _ in kept] + [None]
-            b = [int(ids[j]) for _, j in kept] + [None]
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([None] * len(kept) + [found], pa.int64()), pa.array([None] * len(kept) + [expected], pa.int64())], names=["a", "b", "found", "expected"])
+            kept = np.array(_thinned(shard_links(g, x, radii(np.concatenate(size))), len(ids)), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(ids[kept[:, 0]]), pa.array(ids[kept[:, 1]])], names=["a", "b"])
 
         total = 0
         for batch in batches:
@@ -194,8 +188,7 @@ def candidates(sigs: DataFrame, shard: int = SHARD) -> DataFrame:
         if total:
             yield done()
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
-    return placed.repartition(parts, "route", "i", "j").sortWithinPartitions("route", "i", "j").mapInArrow(run, "a long, b long, found long, expected long")
+    return placed.repartition(parts, "route", "i", "j").sortWithinPartitions("route", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def verified_links(rid: list[int], sim: np.ndarray, sets: list[np.ndarray], similar: float = SIMILAR) -> list[tuple[int, int]]:
@@ -273,17 +266,15 @@ def _verify(docs: DataFrame, families: DataFrame, sigs: DataFrame, text: str) ->
 def deduplicated(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of docs of each class, all columns; equal texts under one key are one document."""
     found = classes(docs, text=text, key=key).where("stays").select(F.col("rid").alias("_stays"), F.col(key).alias("_key")).distinct()
-    rows = _with_rid(docs, {f"own_{c}": F.col(f"`{c}`") for c in docs.columns if c != text}, text)
-    kept = rows.join(found, (rows["_rid"] == found["_stays"]) & rows[f"own_{key}"].eqNullSafe(found["_key"]), "left_semi").dropDuplicates(["_rid", f"own_{key}"])
-    return kept.select(*[F.col("_text").alias(c) if c == text else F.col(f"`own_{c}`").alias(c) for c in docs.columns])
+    rows = _with_rid(docs, {f"own{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns) if c != text}, text)
+    own = f"own{docs.columns.index(key)}"
+    kept = rows.join(found, (rows["_rid"] == found["_stays"]) & rows[own].eqNullSafe(found["_key"]), "left_semi").dropDuplicates(["_rid", own])
+    return kept.select(*[F.col("_text").alias(c) if c == text else F.col(f"own{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
-def classes(docs: DataFrame, *, text: str = "text", key: str = "doc_id", keep: dict[str, Column] | None = None, with_audit: bool = False):
+def classes(docs: DataFrame, *, text: str = "text", key: str = "doc_id", keep: dict[str, Column] | None = None) -> DataFrame:
     """keep's columns (key by default), rid (a hash of the text), class_id, class_size and stays (the row is its
-    class's first by key, null last, then rid; equal rows alike), one row for each row of docs.
-
-    with_audit: also gives a DataFrame (found, expected) of the audited searches.
-    """
+    class's first by key, null last, then rid; equal rows alike), one row for each row of docs."""
     keep = keep or {key: F.col(key)}
     sigs = store(signatures(docs, text), "signatures")
     links = store(candidates(sigs), "candidates")
@@ -300,5 +291,44 @@ def classes(docs: DataFrame, *, text: str = "text", key: str = "doc_id", keep: d
     own = [F.col("_rid").alias("rid"), F.col("_class").alias("class_id"), F.col("_size").alias("class_size")]
     done = whole.join(least, "_root").select(*keep, *own, (F.col("_first") == order).alias("stays"))
     alone = rows.where("_words IS NULL").select(*keep, F.col("_rid").alias("rid"), F.col("_key").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("stays"))
-    result = done.unionByName(alone)
-    return (result, links.where("expected IS NOT NULL").select("found", "expected")) if with_audit else result
+    return done.unionByName(alone)
+
+
+def audit(docs: DataFrame, found: DataFrame, *, text: str = "text", key: str = "doc_id", every: int = 100, most: int = 5000) -> tuple[int, int]:
+    """(expected, together): pairs of similarity SIMILAR or more between a sample of texts and all others, and how
+    many of them found (classes with rid among its columns) has in one class.
+
+    The sample is the texts of rows whose key is divisible by every, most of them at most (a documented bound of
+    the sample, chosen by hash), compared with each distinct text by exact similarity.
+    """
+    memo = Hashes()
+    chosen = docs.where((F.col(key) % every == 0) & F.col(text).isNotNull()).select(F.col(text).alias("t")).distinct().orderBy(F.xxhash64("t"), "t").limit(most)
+    asked = [(_rid(t.encode()), s) for (t,) in chosen.collect() if len(s := shingle_set(memo.of(tokens(t))))]
+    if not asked:
+        return 0, 0
+    flat = np.concatenate([s for _, s in asked])
+    owner = np.repeat(np.arange(len(asked)), [len(s) for _, s in asked])
+    order = np.argsort(flat, kind="stable")
+    flat, owner, sizes, ids = flat[order], owner[order], np.array([len(s) for _, s in asked]), np.array([r for r, _ in asked])
+
+    def part(batch):
+        out, mine = {"a": [], "b": []}, Hashes()
+        for raw, t in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(0).to_pylist()):
+            s = shingle_set(mine.of(tokens(t))) if t else ()
+            if not len(s):
+                continue
+            low, high = np.searchsorted(flat, s), np.searchsorted(flat, s, side="right")
+            hit = np.flatnonzero(high > low)
+            if len(hit):
+                common = np.bincount(np.concatenate([owner[low[i] : high[i]] for i in hit]), minlength=len(ids))
+                near, rid = np.flatnonzero(common >= SIMILAR * (sizes + len(s) - common)), _rid(raw)
+                near = near[ids[near] != rid]
+                out["a"] += ids[near].tolist()
+                out["b"] += [rid] * len(near)
+        yield out
+
+    pairs = arrow_pass(docs.select(F.col(text).alias("text")), part, "a long, b long").distinct()
+    of = found.select("rid", "class_id").distinct()
+    both = pairs.join(of.select(F.col("rid").alias("a"), F.col("class_id").alias("x")), "a").join(of.select(F.col("rid").alias("b"), F.col("class_id").alias("y")), "b")
+    done = both.agg(F.count("*"), F.count_if(F.col("x").eqNullSafe(F.col("y")))).first()
+    return done[0], done[1]

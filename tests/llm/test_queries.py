@@ -1,5 +1,8 @@
 """The registered queries on the smallest tables: SQL where there is some, contracts elsewhere; and the pipeline."""
 
+import collections
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -50,7 +53,34 @@ def test_pipeline(spark):
             for (i, t), (n, gone, digest) in zip(old, brute_passages([t for _, t in old], 35)):
                 assert len(new[i].text.split()) == n - gone and new[i].n_chars == (len(new[i].text) if gone else len(t))
     assert counts[0] >= counts[1] >= counts[2] == counts[3] >= counts[4] > 0.5 * counts[0]
-    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    by = {r.source: r for r in mixed.groupBy("source").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("longest")).collect()}
-    want = brute_targets({s: r["size"] for s, r in by.items()})
-    assert all(abs(r.target - want[s]) < 1e-6 * max(1, want[s]) and abs(r.taken - r.target) <= max(2, r.longest / 2) for s, r in by.items())
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).persist()
+    assert mixed.columns[: len(names)] == names and {"copy", "copies"} <= set(mixed.columns)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = mixed.collect()
+    assert all(r.text == texts[r.doc_id] and 1 <= r.copy <= r.copies <= 2 for r in rows)
+    assert all(n == c for (_, c), n in collections.Counter((r.doc_id, r.copies) for r in rows).items())
+    sizes, longest, taken = (collections.Counter() for _ in range(3))
+    for r in docs.collect():
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+        sizes[r.source] += n
+        longest[r.source] = max(longest[r.source], n)
+    for r in rows:
+        taken[r.source] += r["size"]
+    want = brute_targets(dict(sizes))
+    assert all(abs(taken[s] - want[s]) <= max(2, longest[s] / 2) for s in sizes)
+
+
+def test_pipeline_carries_columns_of_any_name(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    clashing = ["n", "mean", "worst", "score", "label", "kept", "n_words", "n_removed", "_rid", "_key", "_stays", "_spans", "spans", "mark", "doc", "row", "copies", "size", "rid", "own_text", "a.b c"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({c: F.lit(c) for c in clashing}).withColumn("nested", F.struct(F.lit(1.5).cast("decimal(10,2)").alias("x"), F.array(F.lit("y")).alias("y")))
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF).persist()
+        assert docs.columns[: len(names)] == names if name == "mixing" else docs.columns == names
+        rows = docs.select([F.col(f"`{c}`") for c in (*clashing, "nested")]).distinct().collect()
+        assert len(rows) == 1 and list(rows[0])[:-1] == clashing and rows[0].nested.y == ["y"]
+    empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, SF)
+        assert empty.count() == 0
