@@ -82,7 +82,8 @@ def _hits(docs: DataFrame, items: list[tuple], kind: DataType, keep: dict[str, C
                 rows.append(r)
                 for k, v in (("item_id", ids[i]), ("item_words", words[i].view(np.int64)), ("start", s - low), ("passage", h[s:e].view(np.int64))):
                     out[k].append(v)
-        yield {k: batch.column(j).take(rows) for j, k in enumerate(names)} | out
+        if rows:
+            yield {k: batch.column(j).take(rows) for j, k in enumerate(names)} | out
 
     return arrow_pass(kept, part, "item_words array<long>, start long, passage array<long>", [*kept.schema.fields[:-1], StructField("item_id", kind)])
 

@@ -474,6 +474,7 @@ def test_decontamination(spark, docs, empty):
     assert set(got) == {(1, 7), (2, 7)} | {(100 + i, 10) for i in range(120)}
     best = {r.doc_id: r for r in decontam.find_leaks(df, items).where("item_id = 7").collect()}
     assert best[1].score == 1.0 and 0.6 < best[2].score < 1.0
+    assert decontam.find_leaks(df.where("doc_id = 3"), items).count() == 0  # a shared phrase and nothing else
     assert decontam.find_leaks(df, items.limit(0)).count() == 0 and decontam.find_leaks(empty, items).count() == 0
 
 
