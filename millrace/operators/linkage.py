@@ -10,6 +10,8 @@ from itertools import combinations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from millrace.errors import MissingSource
+
 REVIEW_BELOW, SIMILAR = 0.7, 0.85
 MOST_KINDS, MOST_BLOCKS = 200, 500
 
@@ -17,7 +19,10 @@ MOST_KINDS, MOST_BLOCKS = 200, 500
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder and read back."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="millrace-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
+        raise MissingSource("spark.checkpoint.dir: a folder that all executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="millrace-")
     df.write.parquet(path := f"{base}/linkage-{uuid.uuid4().hex}")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

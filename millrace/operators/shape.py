@@ -65,7 +65,9 @@ def drop_repeated_rows(df: DataFrame, keys: tuple[str, ...] = (), order: str | N
     """One row for each combination of keys (all columns); the first by order, when given."""
     if order is None:
         return df.dropDuplicates(list(keys) or None)
-    by = list(keys) or [c for c in df.columns if c != order]
+    if not keys:  # whole rows: an aggregate, combined before the shuffle
+        return df.groupBy(*[F.col(f"`{c}`") for c in df.columns if c != order]).agg(F.min(order).alias(order)).select([F.col(f"`{c}`") for c in df.columns])
+    by = list(keys)
     w = Window.partitionBy(*by).orderBy(order)
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 

@@ -73,9 +73,7 @@ def read(f: Flow) -> Flow:
 
 def chunk(f: Flow) -> Flow:
     p = f.goal.params
-    large = f.texts.agg(F.max(F.length("text"))).first()[0] or 0
-    size = p.get("chunk_size", 4000 if large > 100_000 else 2000)
-    return replace(f, chunks=text.chunk(f.texts, "text", p.get("strategy", "paragraph"), size, p.get("overlap", 200)))
+    return replace(f, chunks=text.chunk(f.texts, "text", p.get("strategy", "paragraph"), p.get("chunk_size", 2000), p.get("overlap", 200)))
 
 
 def extract(f: Flow) -> Flow:
@@ -86,7 +84,8 @@ def extract(f: Flow) -> Flow:
 
 def deduplicate(f: Flow) -> Flow:
     kept = linkage.exact(linkage.flag_review(f.entries), tuple(list(f.profile.fields)[:5]))
-    return replace(f, entries=linkage.fuzzy(kept).withColumn("needs_review", F.coalesce("confidence", F.lit(1.0)) < linkage.REVIEW_BELOW))
+    merged = linkage.checkpointed(linkage.fuzzy(kept).withColumn("needs_review", F.coalesce("confidence", F.lit(1.0)) < linkage.REVIEW_BELOW))
+    return replace(f, entries=merged).noting(dedup_removed=f.entries.count() - merged.count())
 
 
 def normalize(f: Flow) -> Flow:
@@ -107,9 +106,14 @@ def validate(f: Flow) -> Flow:
 
 
 def clean(f: Flow) -> Flow:
+    """The cleaned table is written once; all later steps read it from there."""
     df = shape.drop_empty_rows(f.data, but=("row_id",))
     df = shape.drop_empty_columns(df)
-    return replace(f, data=shape.drop_repeated_rows(shape.repair(df, f.profile), order="row_id"))
+    repaired = shape.repair(df, f.profile)
+    cleaned = linkage.checkpointed(shape.drop_repeated_rows(repaired, order="row_id"))
+    rows, before = cleaned.count(), repaired.count()
+    fixes = sum(bool(d.repairs()) for n, d in f.profile.fields.items() if n in df.columns)
+    return replace(f, data=cleaned).noting(cleaned_rows=rows, dupes_removed=before - rows, fixes_applied=fixes)
 
 
 def transform(f: Flow) -> Flow:
@@ -118,7 +122,8 @@ def transform(f: Flow) -> Flow:
 
 
 def schema(f: Flow) -> Flow:
-    table = stats.profile(f.data, [c for c in f.data.columns if c != "row_id"])
+    """Quartiles and distinct counts by sketches, in one pass, unless the goal asks for exact ones."""
+    table = stats.profile(f.data, [c for c in f.data.columns if c != "row_id"], exact=bool(f.goal.params.get("exact", False)))
     rows = [r.asDict() | {"unit": f.profile.fields[r["column"]].unit if r["column"] in f.profile.fields else ""} for r in table.collect()]
     odd = [{"column": r["column"], "anomaly": a} for r in rows for a in (["high_null_rate"] if r["null_count"] > r["count"] else []) + (["zero_variance"] if r["std"] == 0 else [])]
     return replace(f, profiled=rows, meta=f.meta | {"anomalies": odd}).noting(schema_columns=len(rows), anomaly_count=len(odd), row_count=max((r["count"] + r["null_count"] for r in rows), default=0))

@@ -365,10 +365,10 @@ def response_parse(spark, sf):
     return t(spark, sf, "conversations").select("conv_id", "turn", F.try_element_at(e["fields"], F.lit("role")).alias("said"), e["confidence"].alias("confidence"))
 
 
-@query("SELECT conv_id, turn, CAST(length('Read the text about equipment and list its records as JSON.') + length(text) AS BIGINT) AS least FROM conversations WHERE role = 'user'")
+@query("SELECT conv_id, turn, CAST(length('Read the text about equipment and list its records as JSON.') + length(text) AS BIGINT) AS least FROM conversations")
 def prompt_render(spark, sf):
     p = text.prompts("Read the text about {{asset_type}} and list its records as JSON.{{text}}", "equipment", CATALOGUE.get("equipment"), F.col("text"))
-    return t(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.length(p).cast("long").alias("least"))
+    return t(spark, sf, "conversations").select("conv_id", "turn", F.length(p).cast("long").alias("least"))
 
 
 @query("SELECT c_custkey, 'c_name: ' || c_name || '; c_acctbal: ' || printf('%.2f', c_acctbal) || ' USD' || CASE WHEN c_custkey % 2 = 0 THEN '; c_mktsegment: ' || c_mktsegment ELSE '' END AS text FROM customer")
@@ -382,9 +382,9 @@ def keyword_search(spark, sf):
     return text.search(t(spark, sf, "documents"), "text", ["license", "mit"]).select("doc_id")
 
 
-@query("SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '\\S+')) AS VARCHAR) AS words, 0.9::DOUBLE AS confidence FROM conversations WHERE turn = 0")
+@query("SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '\\S+')) AS VARCHAR) AS words, 0.9::DOUBLE AS confidence FROM conversations")
 def extract_with_stub(spark, sf):
-    rows = t(spark, sf, "conversations").where("turn = 0").select("conv_id", "turn", F.col("text").alias("chunk"))
+    rows = t(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("chunk"))
     got = text.extract(rows, text.prompts(text.GENERIC_PROMPT, "equipment", CATALOGUE.get("equipment"), F.col("chunk")), text.StubBackend())
     return got.select("conv_id", "turn", F.col("fields")["words"].alias("words"), "confidence")
 

@@ -21,10 +21,31 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) is not None and len(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)) > 0
 
 
+def first_bytes(spark: SparkSession, path: str) -> bytes:
+    """Up to SNIFFED bytes of the first file under a path, by name; nothing else of it is read."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    todo, files = list(fs.globStatus(p) or []), []
+    while todo:
+        at = todo.pop()
+        if at.getPath().getName()[0] in "._":
+            continue
+        if at.isDirectory():
+            todo += list(fs.listStatus(at.getPath()))
+        else:
+            files.append(at.getPath())
+    if not files:
+        return b""
+    stream = fs.open(min(files, key=lambda f: f.toString()))
+    try:
+        return bytes(stream.readNBytes(SNIFFED))
+    finally:
+        stream.close()
+
+
 def sniff_encoding(spark: SparkSession, path: str) -> str:
     """The first encoding that reads the first bytes of the first file; the last one reads anything."""
-    row = spark.read.format("binaryFile").load(path).orderBy("path").select(F.substring("content", 1, SNIFFED).alias("b")).first()
-    head = bytes(row["b"]) if row and row["b"] else b""
+    head = first_bytes(spark, path)
     for e in ENCODINGS:
         for cut in range(4):  # the sample may end inside a character
             try:
@@ -36,8 +57,10 @@ def sniff_encoding(spark: SparkSession, path: str) -> str:
     return ENCODINGS[-1]
 
 
-def read(spark: SparkSession, path: str, fmt: str | None = None, *, encoding: str | None = None, schema: str | None = None) -> DataFrame:
-    """A table from csv, tsv, json (array or object), jsonl, parquet, orc or xlsx; anything else as (path, text), a row a file."""
+def read(spark: SparkSession, path: str, fmt: str | None = None, *, encoding: str | None = None, schema: str | None = None, multiline: bool = True) -> DataFrame:
+    """multiline=False: no quoted field of a csv holds a line feed, so that large files are split.
+
+    A table from csv, tsv, json (array or object), jsonl, parquet, orc or xlsx; anything else as (path, text), a row a file."""
     if not _exists(spark, path):
         raise MissingSource(path)
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
@@ -49,7 +72,7 @@ def read(spark: SparkSession, path: str, fmt: str | None = None, *, encoding: st
                 encoding = encoding or sniff_encoding(spark, path)
                 if encoding == "gbk":
                     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-                return reader.csv(path, header=True, inferSchema=schema is None, encoding=encoding, sep="\t" if suffix == "tsv" else ",", multiLine=True, escape='"')
+                return reader.csv(path, header=True, inferSchema=schema is None, encoding=encoding, sep="\t" if suffix == "tsv" else ",", multiLine=multiline, escape='"')
             case "json":
                 df = reader.json(path, multiLine=True)
             case "jsonl":

@@ -17,14 +17,14 @@ def _json(path: Path, what) -> None:
 
 
 def snapshot(folder: str, df: DataFrame, *, schema: list[dict] | None = None, summary: str | None = None, entries: DataFrame | None = None, documents: DataFrame | None = None, csv: bool = True) -> dict[str, str]:
-    """Writes data (Parquet, and one CSV), schema.json, summary.md, entries and documents (JSON); gives their paths."""
+    """Writes data (Parquet, and CSV in as many files as it has partitions), schema.json, summary.md, entries and documents (JSON); gives their paths."""
     base = Path(folder) / "normalized"
     base.mkdir(parents=True, exist_ok=True)
     out = {"data": str(base / "data.parquet")}
     df.write.mode("overwrite").parquet(out["data"])
     if csv:
         out["csv"] = str(base / "data.csv")
-        df.coalesce(1).write.mode("overwrite").csv(out["csv"], header=True, encoding="utf-8")
+        df.write.mode("overwrite").csv(out["csv"], header=True, encoding="utf-8")
     if schema is not None:
         _json(base / "schema.json", schema)
         out["schema"] = str(base / "schema.json")
