@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-MEMO_LIMIT = 400_000  # words a worker remembers before it starts afresh
+MEMO_LIMIT = 150_000  # words a worker remembers before it starts afresh
 BLOCK_BYTES = 2 << 20  # text handled at once by a worker; Spark's own limit bounds an Arrow batch to 64 MB
 WORDS = re.compile(r"[^\W_]+")
 

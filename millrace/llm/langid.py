@@ -19,10 +19,11 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.llm.common import MEMO_LIMIT, arrow_pass, spread
+from millrace.llm.common import arrow_pass, spread
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UND = "und"
+WORDS_HELD = 400_000  # unseen words a worker remembers the scores of
 
 
 @dataclass
@@ -116,7 +117,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", keep:
         at, scores = state["at"], state["scores"]
         new = [w for w in words if w not in at]
         if new:
-            if state["n"] + len(new) > len(model.words) + MEMO_LIMIT:
+            if state["n"] + len(new) > len(model.words) + WORDS_HELD:
                 at = state["at"] = dict(model.words)
                 state["n"] = len(at)
                 new = [w for w in words if w not in at]
