@@ -7,10 +7,14 @@ distribution that both classes share and that is made of what was discounted in
 for both, so an expression that is rare everywhere, or unknown, counts for neither class. A bigram backs off to
 the class's own word probability, with the weight of its history.
 
-Both models are pruned by relative entropy: a word or bigram is kept if its mean probability in the classes times
-what it changes in the log-likelihood ratio (at most MOST) exceeds a threshold that doesn't depend on the size of
-the corpus. As probabilities sum to 1, no more than 2 * MOST / threshold entries are kept: the model that workers
-get is bounded, whatever the corpus holds. All else falls back, words to a ratio of 0.
+Every word and bigram of the counted rows is in the model, however rare, so the model grows with the rows. What a
+few texts hold says little, though, and would outweigh all else if taken at its face: a word's log ratio, and a
+bigram's change to that of its word, are multiplied by 1 / (1 + (SURE / G) ** 4), where G is the likelihood ratio
+statistic of its counts in the two classes (for a bigram against what its word lets expect). G grows with the
+counts, so with more rows more expressions have their full weight. The model is kept in files that workers map into memory (see `keytables`); neither the driver nor a worker has to hold it. On
+demand `fitted` prunes by relative entropy: a word or bigram stays if its mean probability in the classes times what
+it changes in the log-likelihood ratio (at most MOST) exceeds a threshold; `train` asks for none. What wasn't
+counted falls back, bigrams on their word, words on a ratio of 0.
 
 A text's evidence is its length-normalised difference of log-likelihoods, and that of its worst passage of
 PASSAGE words; a logistic curve, fitted on a fold that the counts leave out, turns both into a score.
@@ -29,9 +33,11 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.llm.common import K1, WORDS, Filter64, Hashes, arrow_pass, crossing, mix, spread, store, windows
+from millrace.llm.common import K1, WORDS, Hashes, arrow_pass, crossing, mix, spread, store, windows
+from millrace.llm.keytables import KeyTable, slot, slots, write
 
 MOST, PASSAGE = 8.0, 3
+SURE = (10.0, 20.0)  # G at which a word, a bigram has half its weight
 WORD = 0  # stands for the history of a word counted by itself
 START = np.uint64(1)  # history of a text's first word
 BROADCAST_ROWS = 2_000_000  # labels are broadcast up to so many rows, and shuffled beyond
@@ -39,11 +45,15 @@ BROADCAST_ROWS = 2_000_000  # labels are broadcast up to so many rows, and shuff
 
 @dataclass
 class KneserNey:
-    words: np.ndarray  # sorted word hashes
-    word_ratio: np.ndarray  # log of toxic over ordinary probability
-    pairs: np.ndarray  # sorted hashes of bigrams that say more than their word
-    pair_ratio: np.ndarray
-    curve: tuple[float, ...]  # weights of mean and worst, and the intercept
+    of_words: KeyTable  # word hash -> log of toxic over ordinary probability
+    of_pairs: KeyTable  # hash of a bigram that says other than its word -> the same
+    curve: tuple[float, ...] = (0.0, 0.0, 0.0)  # weights of mean and worst, and the intercept
+
+    # the whole tables as arrays, sorted by hash; for small models
+    words = property(lambda self: self.of_words.whole()[0])
+    word_ratio = property(lambda self: self.of_words.whole()[1][0])
+    pairs = property(lambda self: self.of_pairs.whole()[0])
+    pair_ratio = property(lambda self: self.of_pairs.whole()[1][0])
 
 
 def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -98,7 +108,10 @@ def first_copies(rows: DataFrame, shingle: int = 5) -> DataFrame:
 
 
 def count_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b, ordinary, toxic): how many rows (text, label) of each class hold the bigram of a and b, or, where a is WORD, the word b."""
+    """(slot, a, b, ordinary, toxic): how many rows (text, label) of each class hold the bigram of a and b, or, where a is WORD, the word b.
+
+    Partitioned by slot, that of the bigram's or word's key.
+    """
     memo = Hashes()
 
     def part(batch):
@@ -116,10 +129,11 @@ def count_pairs(rows: DataFrame) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], (m[:, 1:] != m[:, :-1]).any(0)]))
             n = np.diff(np.concatenate([first, [m.shape[1]]]))
             m = m[:, first]
-            yield {"a": m[0].view(np.int64), "b": m[1].view(np.int64), "ordinary": np.where(m[2] == 0, n, 0), "toxic": np.where(m[2] == 1, n, 0)}
+            own = slots(np.where(m[0] == WORD, m[1], pair_key(m[0], m[1])))
+            yield {"slot": own, "a": m[0].view(np.int64), "b": m[1].view(np.int64), "ordinary": np.where(m[2] == 0, n, 0), "toxic": np.where(m[2] == 1, n, 0)}
 
-    found = arrow_pass(rows.select("text", "label"), part, "a long, b long, ordinary long, toxic long")
-    return found.groupBy("a", "b").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    found = arrow_pass(rows.select("text", "label"), part, "slot int, a long, b long, ordinary long, toxic long").repartition("slot")
+    return found.groupBy("slot", "a", "b").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
 def discounts(n: tuple[int, int, int, int]) -> np.ndarray:
@@ -129,11 +143,20 @@ def discounts(n: tuple[int, int, int, int]) -> np.ndarray:
     return np.clip([0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0.0, [0.0, 1.0, 2.0, 3.0])
 
 
-def train(docs: DataFrame, labels: DataFrame, train_on: Column, *, label: str = "toxic", quota: tuple[int, int] = (2500, 2500), word_least: float = 1e-4, pair_least: float = 1e-3, text: str = "text", key: str = "doc_id") -> KneserNey | float:
+def certainty(n: np.ndarray, expected: np.ndarray, sure: float) -> np.ndarray:
+    """0 to 1: how far counts n (a row a class) that differ from the expected proportions are to be believed; sure 0: wholly."""
+    if not sure:
+        return np.ones(n.shape[1])
+    share = n.sum(0) * expected / expected.sum(0)
+    g = 2 * (n * np.log(np.where(n > 0, n, 1) / np.where(n > 0, share, 1))).sum(0)
+    return 1 / (1 + (sure / np.maximum(g, 1e-9)) ** 4)
+
+
+def train(docs: DataFrame, labels: DataFrame, train_on: Column, *, label: str = "toxic", quota: tuple[int, int] = (2500, 2500), word_least: float = 0.0, pair_least: float = 0.0, text: str = "text", key: str = "doc_id") -> KneserNey | float:
     """Counts all labelled rows where train_on holds but one fold of four, on which the curve is fitted.
 
     quota bounds the sample of that fold (rows of label 0, rows of label 1) that the curve is fitted on.
-    word_least, pair_least: thresholds of pruning. Gives a float, the share of label 1, when a class is missing.
+    word_least, pair_least: thresholds of pruning (0: none). Gives a float, the share of label 1, when a class is missing.
     """
     fold = (F.crc32(F.col("key").cast("string").cast("binary")) % 5).cast("int")
     each = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key)).agg(F.max(label).cast("int").alias("label"))
@@ -150,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, train_on: Column, *, label: str =
     beside = F.broadcast if sum(of.values()) <= BROADCAST_ROWS else lambda df: df
     kept = store(first_copies(joined.join(beside(each), "key")), "training")
     pairs = count_pairs(joined.join(beside(kept.where(F.col("fold") != held)), "key")).persist()
-    model = fitted(pairs, word_least, pair_least)
+    model = fitted(pairs, word_least, pair_least, SURE)
     pairs.unpersist()
     if model is None:
         return share
@@ -166,8 +189,11 @@ def train(docs: DataFrame, labels: DataFrame, train_on: Column, *, label: str =
     return model
 
 
-def fitted(pairs: DataFrame, word_least: float, pair_least: float) -> KneserNey | None:
-    """The pruned models of a table of counts (see count_pairs); None when a class has no word."""
+def fitted(pairs: DataFrame, word_least: float, pair_least: float, sure: tuple[float, float] = (0.0, 0.0)) -> KneserNey | None:
+    """The models of a table of counts (see count_pairs), pruned where a threshold isn't 0; None when a class has no word.
+
+    sure: see certainty, for words and for bigrams; without it the ratios are those of plain Kneser-Ney.
+    """
     by = ("ordinary", "toxic")
     tallies = [F.sum(c).alias(c) for c in by] + [F.count_if(F.col(c) == k).alias(f"{c}{k}") for c in by for k in (1, 2, 3, 4)] + [F.count_if(F.col(c) >= 3).alias(f"{c}_more") for c in by]
     sums = {bool(r["word"]): r for r in pairs.groupBy((F.col("a") == WORD).alias("word")).agg(*tallies).collect()}
@@ -178,43 +204,47 @@ def fitted(pairs: DataFrame, word_least: float, pair_least: float) -> KneserNey
     off = lambda r, c, d: d[1] * r[f"{c}1"] + d[2] * r[f"{c}2"] + d[3] * r[f"{c}_more"]
     shared_total = sum(off(sums[True], c, cut[True][c]) for c in by)
     back = float(np.sqrt(np.prod([off(sums[True], c, cut[True][c]) / total[c] for c in by])))
+    log_ratio = lambda p: np.clip(np.log(p[1] / p[0]), -MOST, MOST)
+    weighs = lambda n, change: sum(n[c] / total[c] for c in by) / 2 * np.abs(change)
 
-    def probable(n: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    def probable(n: dict[str, np.ndarray]) -> np.ndarray:
         taken = {c: cut[True][c][np.minimum(n[c], 3)] for c in by}
         shared = back * sum(taken.values()) / max(shared_total, 1e-300)
-        return {c: (n[c] - taken[c]) / total[c] + shared for c in by}
-
-    def counts(df: DataFrame, least: float) -> dict[str, np.ndarray]:
-        """Only what is frequent enough to be kept at the greatest change."""
-        often = F.greatest(*[F.col(c) / total[c] for c in by]) * MOST > least
-        t = df.where(often).toArrow()
-        return {n: t[n].to_numpy() for n in t.column_names}
-
-    log_ratio = lambda p: np.clip(np.log(p["toxic"] / p["ordinary"]), -MOST, MOST)
-    w = counts(pairs.where(F.col("a") == WORD).select("b", *by), word_least)
-    ratio = log_ratio(probable(w))
-    stays = sum(w[c] / total[c] for c in by) / 2 * np.abs(ratio) > word_least
-    order = np.argsort(w["b"].view(np.uint64)[stays])
-    model = KneserNey(w["b"].view(np.uint64)[stays][order], ratio[stays][order], np.zeros(0, np.uint64), np.zeros(0), (0.0, 0.0, 0.0))
-    m = counts(pairs.where(F.col("a") != WORD), pair_least)
-    if len(m["a"]):
-        # bigrams frequent enough hold words and histories that are, so few of these are asked for
-        of_history = [F.sum(c).alias(c) for c in by] + [F.count_if(F.col(c) == k).alias(f"{c}{k}") for c in by for k in (1, 2)] + [F.count_if(F.col(c) >= 3).alias(f"{c}_more") for c in by]
-        histories = pairs.where(F.col("a") != WORD).groupBy("a").agg(*of_history).where(F.greatest(*[F.col(c) / total[c] for c in by]) * MOST > pair_least).toPandas().set_index("a").loc[m["a"]]
-        own = pairs.where((F.col("a") == WORD) & (F.greatest(*[F.col(c) / total[c] for c in by]) * MOST > pair_least)).select("b", *by).toPandas().set_index("b").loc[m["b"]]
-        p = probable({c: own[c].to_numpy() for c in by})
-        lower, upper = log_ratio(p), {}
-        for c in by:
-            n = histories[c].to_numpy().astype(float)
-            d = cut[False][c]
-            weight = np.where(n > 0, (d[1] * histories[f"{c}1"] + d[2] * histories[f"{c}2"] + d[3] * histories[f"{c}_more"]).to_numpy() / np.maximum(n, 1), 1.0)
-            upper[c] = (m[c] - d[np.minimum(m[c], 3)]) / np.maximum(n, 1) + weight * p[c]
-        ratio = log_ratio(upper)
-        stays = sum(m[c] / total[c] for c in by) / 2 * np.abs(ratio - lower) > pair_least
-        keys = pair_key(m["a"].view(np.uint64), m["b"].view(np.uint64))[stays]
-        order = np.argsort(keys)
-        model.pairs, model.pair_ratio = keys[order], ratio[stays][order]
-    return model
+        return np.stack([(n[c] - taken[c]) / total[c] + shared for c in by])
+
+    def word_ratios(n: dict[str, np.ndarray]):
+        p = probable(n)
+        plain, seen = log_ratio(p), np.stack([n[c] for c in by]).astype(float)
+        ratio = plain * certainty(seen, np.array([[total[c]] for c in by]), sure[0])
+        return n["b"].view(np.uint64), np.stack([ratio, *p]), weighs(n, plain) > word_least
+
+    def kept_words(n: dict[str, np.ndarray]):
+        keys, values, stays = word_ratios(n)
+        return keys[stays], values[:1, stays]
+
+    words = pairs.where(F.col("a") == WORD)
+    of_words = write(words, kept_words, 1, "words")
+    alone = write(words, lambda n: word_ratios(n)[:2], 3, "probabilities")
+    freed = [F.sum(F.when(F.col(c) == 1, float(d[1])).when(F.col(c) == 2, float(d[2])).when(F.col(c) >= 3, float(d[3])).otherwise(0.0)).alias(f"{c}_freed") for c, d in cut[False].items()]
+    histories = pairs.where(F.col("a") != WORD).groupBy("a").agg(*[F.sum(c).alias(c) for c in by], *freed)
+    before = write(histories.withColumn("slot", slot(F.col("a"))).repartition("slot"), lambda n: (n["a"].view(np.uint64), np.stack([n["ordinary"], n["toxic"], n["ordinary_freed"], n["toxic_freed"]])), 4, "histories")
+
+    def pair_ratios(n: dict[str, np.ndarray]):
+        a, b = n["a"].view(np.uint64), n["b"].view(np.uint64)
+        (held, _), ((lower, *p), _), upper = before.find(a), alone.find(b), []
+        for k, c in enumerate(by):
+            d, most = cut[False][c], np.maximum(held[k], 1)
+            upper.append((n[c] - d[np.minimum(n[c], 3)]) / most + np.where(held[k] > 0, held[2 + k] / most, 1.0) * p[k])
+        change = log_ratio(upper) - log_ratio(p)
+        # a word is expected as often in bigrams as its probabilities say, each class having its own number of bigrams
+        believed = certainty(np.stack([n[c] for c in by]).astype(float), np.stack([p[k] * sums[False][c] for k, c in enumerate(by)]), sure[1])
+        stays = weighs(n, change) > pair_least
+        return pair_key(a, b)[stays], (lower + change * believed)[None, stays]
+
+    of_pairs = write(pairs.where(F.col("a") != WORD), pair_ratios, 1, "pairs")
+    alone.delete()
+    before.delete()
+    return KneserNey(of_words, of_pairs)
 
 
 def evidence(docs: DataFrame, model: KneserNey, keep: dict[str, Column], text: str = "text") -> DataFrame:
@@ -222,11 +252,9 @@ def evidence(docs: DataFrame, model: KneserNey, keep: dict[str, Column], text: s
     of the PASSAGE words in which it is greatest; shorter texts count as if words of no weight followed)."""
     kept = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("_text"))
     names = list(keep)
-    memo, ready = Hashes(), {}
+    memo, of_words, of_pairs = Hashes(), model.of_words, model.of_pairs
 
     def part(batch):
-        if not ready:
-            ready.update(words=Filter64(model.words), pairs=Filter64(model.pairs))
         each = _tokens(batch.column(batch.num_columns - 1).to_pylist(), memo)
         n = np.array([len(x) for x in each])
         mean, worst = np.zeros(len(each)), np.zeros(len(each))
@@ -236,11 +264,9 @@ def evidence(docs: DataFrame, model: KneserNey, keep: dict[str, Column], text: s
             starts = np.concatenate([[0], np.cumsum(n[full])[:-1]])
             before = np.concatenate([[START], h[:-1]])
             before[starts] = START
-            ratio = np.zeros(len(h))
-            at, hit = ready["words"].find(h)
-            ratio[at] = model.word_ratio[hit]
-            at, hit = ready["pairs"].find(pair_key(before, h))
-            ratio[at] = model.pair_ratio[hit]
+            (alone,), _ = of_words.find(h)
+            (both,), there = of_pairs.find(pair_key(before, h))
+            ratio = np.where(there, both, alone)
             total = np.add.reduceat(ratio, starts)
             passage = np.full(len(h), -np.inf)
             if len(h) >= PASSAGE:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontam, fingerprints, langid, licenses, mixing, neardup, quality, queries, substrings, toxicity
+from millrace.llm import chat, decontam, fingerprints, keytables, langid, licenses, mixing, neardup, quality, queries, substrings, toxicity
 from millrace.llm.common import held_out, tokens, windows
 from millrace.llm.components import components
 
@@ -310,6 +310,38 @@ def test_kneser_ney_is_the_plain_one(spark):
     assert len(pruned.words) <= 2 * toxicity.MOST / 0.02 and set(pruned.words.tolist()) < set(model.words.tolist())
 
 
+def test_toxicity_counts_rare_expressions(spark):
+    """Training prunes nothing: of many texts' words and bigrams the rare ones are in the model too, and change the evidence."""
+    rng = random.Random(5)
+    texts = [(i, " ".join([f"w{rng.randint(0, 5000)}" for _ in range(60)] + ["vile", "brute"] * (i % 4 == 0))) for i in range(800)]
+    texts += [(1000 + i, f"only{i} seen{i} vile") for i in range(4)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 4 == 0 or i >= 1000)) for i, _ in texts], "doc_id long, toxic int")
+    model = toxicity.train(df, marks, F.expr("doc_id >= 0"))
+    seen, memo = collections.Counter(), toxicity.Hashes()
+    for _, t in texts:
+        seen.update(set(zip([None, *t.split()], t.split())))
+    folds = [zlib.crc32(str(i).encode()) % 5 for i, _ in texts]
+    least = min(len({p for (_, t), f in zip(texts, folds) if f != held for p in zip([None, *t.split()], t.split())}) for held in range(5))
+    assert len(model.pairs) >= 0.99 * least and len(model.words) > 4500
+    word = next(t.split()[0] for (i, t), f in zip(texts, folds) if i >= 1000 and int(memo[t.split()[0]]) in set(model.words.tolist()))
+    found = toxicity.evidence(spark.createDataFrame([(word,), ("never",)], "text string"), model, {"t": F.col("text")}).collect()
+    got = {r.t: r["mean"] for r in found}
+    assert got["never"] == 0.0 < got[word] < 1.0  # counted once: some evidence, far below its plain ratio
+
+
+def test_key_table_holds_any_slot(spark):
+    keys = np.random.default_rng(3).integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2)
+    df = spark.createDataFrame([(int(k.view(np.int64)),) for k in keys], "k long").withColumn("slot", keytables.slot(F.col("k"))).repartition("slot")
+    t = keytables.write(df, lambda n: (n["k"].view(np.uint64), np.stack([n["k"] % 97, n["slot"]])), 2, "test")
+    values, there = t.find(np.concatenate([keys[::3], keys[::7] + np.uint64(1)]))
+    assert len(t) == len(keys) and there[: len(keys[::3])].all() and not there[len(keys[::3]) :].any()
+    assert (values[0, there] == keys[::3].view(np.int64) % 97).all() and (values[1, there] == keytables.slots(keys[::3])).all()
+    assert (t.whole()[0] == np.sort(keys)).all()
+    none = keytables.write(df.limit(0), lambda n: (n["k"].view(np.uint64), n["k"][None]), 1, "test")
+    assert not len(none) and not none.find(keys)[1].any() and not none.find(keys[:0])[1].any()
+
+
 def test_toxicity_with_a_one_class_fold(docs, labels):
     """The fold that fits the curve is one that holds both classes; where none does, the share is the score."""
     of = lambda *folds: F.expr(f"crc32(cast(cast(doc_id as string) as binary)) % 5 in ({','.join(map(str, folds))})")
