@@ -84,3 +84,13 @@ def test_pipeline_carries_columns_of_any_name(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
         assert empty.count() == 0
+
+
+def test_pipeline_scores_with_every_bigram(spark, monkeypatch):
+    """The pipeline's first stage looks words up in a model that holds the rare ones and bigrams."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    models, train = [], corpus_pipeline.toxicity.train
+    monkeypatch.setattr(corpus_pipeline.toxicity, "train", lambda *a, **k: models.append(train(*a, **k)) or models[-1])
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    left = corpus_pipeline.drop_toxic(spark, docs, "/root/testdata/sf0.01").count()
+    assert len(models[0].of_words) > 10_000 and len(models[0].of_pairs) > 10_000 and 0.8 * docs.count() < left < docs.count()
