@@ -11,7 +11,8 @@ Every word and bigram of the counted rows is in the model, however rare, so the
 few texts hold says little, though, and would outweigh all else if taken at its face: a word's log ratio, and a
 bigram's change to that of its word, are multiplied by 1 / (1 + (SURE / G) ** 4), where G is the likelihood ratio
 statistic of its counts in the two classes (for a bigram against what its word lets expect). G grows with the
-counts, so with more rows more expressions have their full weight. The model is kept in files that workers map into memory (see `keytables`); neither the driver nor a worker has to hold it. On
+counts, so with more rows more expressions have their full weight. The model is kept in files that workers map into memory (see `keytables`); neither the driver nor a worker has to hold it. Counts
+are shuffled packed, the bigrams of a history together, so that its totals need no second shuffle. On
 demand `fitted` prunes by relative entropy: a word or bigram stays if its mean probability in the classes times what
 it changes in the log-likelihood ratio (at most MOST) exceeds a threshold; `train` asks for none. What wasn't
 counted falls back, bigrams on their word, words on a ratio of 0.
@@ -31,16 +32,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.llm.common import K1, WORDS, Hashes, arrow_pass, crossing, mix, spread, store, windows
-from millrace.llm.keytables import KeyTable, slot, slots, write
+from millrace.llm.keytables import SLOT_BITS, KeyTable, slots, write
 
 MOST, PASSAGE = 8.0, 3
 SURE = (10.0, 20.0)  # G at which a word, a bigram has half its weight
 WORD = 0  # stands for the history of a word counted by itself
 START = np.uint64(1)  # history of a text's first word
 BROADCAST_ROWS = 2_000_000  # labels are broadcast up to so many rows, and shuffled beyond
+MERGED = 1 << 20  # counts of a slot that a task gathers before it adds up equal ones
 
 
 @dataclass
@@ -57,7 +60,37 @@ class KneserNey:
 
 
 def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a * K1 + b)
+    """Keys in the slot of their history."""
+    own = np.uint64(64 - SLOT_BITS)
+    return (a >> own << own) | (mix(a * K1 + b) >> np.uint64(SLOT_BITS))
+
+
+def merged(each: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Counts (a, b, ordinary, toxic), sorted by a, then b, each (a, b) once."""
+    a, b, *n = (np.concatenate(x) for x in zip(*each))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return a[first], b[first], *(np.add.reduceat(x[order], first) for x in n)
+
+
+def pack(a: np.ndarray, b: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> bytes:
+    """Merged counts as bytes: each history once, numbers as short as the greatest allows."""
+    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+    sizes = np.diff(np.append(first, len(a)))
+    short = [x.astype(np.min_scalar_type(int(x.max()))) for x in (sizes, ordinary, toxic)]
+    head = np.array([len(first), len(a), *(x.itemsize for x in short)], np.int64)
+    return b"".join(x.tobytes() for x in (head, a[first], b, *short))
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, ...]:
+    histories, n, *wide = np.frombuffer(data, np.int64, 5).tolist()
+    at, out = 40, []
+    for count, kind in ((histories, "u8"), (n, "u8"), *((k, f"u{w}") for k, w in zip((histories, n, n), wide))):
+        out.append(np.frombuffer(data, kind, count, at))
+        at += out[-1].nbytes
+    a, b, sizes, *counts = out
+    return np.repeat(a, sizes.astype(np.int64)), b, *(x.astype(np.int64) for x in counts)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -108,9 +141,9 @@ def first_copies(rows: DataFrame, shingle: int = 5) -> DataFrame:
 
 
 def count_pairs(rows: DataFrame) -> DataFrame:
-    """(slot, a, b, ordinary, toxic): how many rows (text, label) of each class hold the bigram of a and b, or, where a is WORD, the word b.
+    """(slot, word, data): packed counts (a, b, ordinary, toxic) of a slot, how many rows (text, label) of each class hold the bigram of a and b, or, where word is true and a is WORD, the word b.
 
-    Partitioned by slot, that of the bigram's or word's key.
+    Partitioned by slot, that of the bigram's or word's key; one row for a slot's bigrams, one for its words.
     """
     memo = Hashes()
 
@@ -121,19 +154,43 @@ def count_pairs(rows: DataFrame) -> DataFrame:
                 a = np.concatenate([[START], h[:-1]])
                 _, first = np.unique(pair_key(a, h), return_index=True)
                 own = np.unique(h)
-                both = np.concatenate([a[first], np.full(len(own), WORD, np.uint64)]), np.concatenate([h[first], own])
-                seen.append(np.stack([*both, np.full(len(both[0]), y, np.uint64)]))
+                toxic = np.full(len(first) + len(own), y, np.int64)
+                seen.append((np.concatenate([a[first], np.full(len(own), WORD, np.uint64)]), np.concatenate([h[first], own]), 1 - toxic, toxic))
         if seen:
-            m = np.concatenate(seen, axis=1)
-            m = m[:, np.lexsort(m)]
-            first = np.flatnonzero(np.concatenate([[True], (m[:, 1:] != m[:, :-1]).any(0)]))
-            n = np.diff(np.concatenate([first, [m.shape[1]]]))
-            m = m[:, first]
-            own = slots(np.where(m[0] == WORD, m[1], pair_key(m[0], m[1])))
-            yield {"slot": own, "a": m[0].view(np.int64), "b": m[1].view(np.int64), "ordinary": np.where(m[2] == 0, n, 0), "toxic": np.where(m[2] == 1, n, 0)}
-
-    found = arrow_pass(rows.select("text", "label"), part, "slot int, a long, b long, ordinary long, toxic long").repartition("slot")
-    return found.groupBy("slot", "a", "b").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+            a, b, *n = merged(seen)
+            words = int(np.searchsorted(a, WORD, side="right"))
+            out = {"slot": [], "word": [], "data": []}
+            for word, lo, hi in ((True, 0, words), (False, words, len(a))):
+                at = slots(b[lo:hi] if word else a[lo:hi])  # ascending, as what they are made of
+                cuts = (lo + np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))).tolist()
+                for i, k in zip(cuts, [*cuts[1:], hi]):
+                    out["slot"].append(int(at[i - lo]))
+                    out["word"].append(word)
+                    out["data"].append(pack(a[i:k], b[i:k], *(x[i:k] for x in n)))
+            yield out
+
+    def gather(batches):
+        held, now, limit = [], None, MERGED
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]]), pa.array([pack(*merged(held))], pa.binary())], names=["slot", "word", "data"])
+
+        for batch in batches:
+            for place, data in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), batch.column(2)):
+                if held and place != now:
+                    yield done()
+                    held, limit = [], MERGED
+                now = place
+                held.append(unpack(data.as_buffer()))
+                limit -= len(held[-1][0])
+                if limit < 0:
+                    held = [merged(held)]
+                    limit = max(MERGED, len(held[0][0]))
+        if held:
+            yield done()
+
+    found = arrow_pass(rows.select("text", "label"), part, "slot int, word boolean, data binary").repartition("slot")
+    return found.sortWithinPartitions("slot", "word").mapInArrow(gather, "slot int, word boolean, data binary")
 
 
 def discounts(n: tuple[int, int, int, int]) -> np.ndarray:
@@ -195,8 +252,18 @@ def fitted(pairs: DataFrame, word_least: float, pair_least: float, sure: tuple[f
     sure: see certainty, for words and for bigrams; without it the ratios are those of plain Kneser-Ney.
     """
     by = ("ordinary", "toxic")
-    tallies = [F.sum(c).alias(c) for c in by] + [F.count_if(F.col(c) == k).alias(f"{c}{k}") for c in by for k in (1, 2, 3, 4)] + [F.count_if(F.col(c) >= 3).alias(f"{c}_more") for c in by]
-    sums = {bool(r["word"]): r for r in pairs.groupBy((F.col("a") == WORD).alias("word")).agg(*tallies).collect()}
+    tallies = [*by, *(f"{c}{k}" for c in by for k in (1, 2, 3, 4)), *(f"{c}_more" for c in by)]
+
+    def tally(batches):
+        for batch in batches:
+            sums = []
+            for data in batch.column(1):
+                *_, n0, n1 = unpack(data.as_buffer())
+                sums.append([int(n0.sum()), int(n1.sum()), *(int((n == k).sum()) for n in (n0, n1) for k in (1, 2, 3, 4)), *(int((n >= 3).sum()) for n in (n0, n1))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in zip(*sums))], names=["word", *tallies]) if sums else pa.RecordBatch.from_pylist([], pa.schema([("word", pa.bool_()), *((t, pa.int64()) for t in tallies)]))
+
+    each = pairs.select("word", "data").mapInArrow(tally, "word boolean, " + ", ".join(f"{t} long" for t in tallies))
+    sums = {r["word"]: r for r in each.groupBy("word").agg(*[F.sum(t).alias(t) for t in tallies]).collect()}
     if True not in sums or not all(sums[True][c] for c in by):
         return None
     cut = {w: {c: discounts(tuple(r[f"{c}{k}"] for k in (1, 2, 3, 4))) for c in by} for w, r in sums.items()}
@@ -216,34 +283,37 @@ def fitted(pairs: DataFrame, word_least: float, pair_least: float, sure: tuple[f
         p = probable(n)
         plain, seen = log_ratio(p), np.stack([n[c] for c in by]).astype(float)
         ratio = plain * certainty(seen, np.array([[total[c]] for c in by]), sure[0])
-        return n["b"].view(np.uint64), np.stack([ratio, *p]), weighs(n, plain) > word_least
+        return n["b"], np.stack([ratio, *p]), weighs(n, plain) > word_least
 
     def kept_words(n: dict[str, np.ndarray]):
         keys, values, stays = word_ratios(n)
         return keys[stays], values[:1, stays]
 
-    words = pairs.where(F.col("a") == WORD)
-    of_words = write(words, kept_words, 1, "words")
-    alone = write(words, lambda n: word_ratios(n)[:2], 3, "probabilities")
-    freed = [F.sum(F.when(F.col(c) == 1, float(d[1])).when(F.col(c) == 2, float(d[2])).when(F.col(c) >= 3, float(d[3])).otherwise(0.0)).alias(f"{c}_freed") for c, d in cut[False].items()]
-    histories = pairs.where(F.col("a") != WORD).groupBy("a").agg(*[F.sum(c).alias(c) for c in by], *freed)
-    before = write(histories.withColumn("slot", slot(F.col("a"))).repartition("slot"), lambda n: (n["a"].view(np.uint64), np.stack([n["ordinary"], n["toxic"], n["ordinary_freed"], n["toxic_freed"]])), 4, "histories")
+    def counts(n: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        (data,) = n["data"]
+        return dict(zip(("a", "b", *by), unpack(data)))
+
+    words = pairs.where("word").select("slot", "data")
+    of_words = write(words, lambda n: kept_words(counts(n)), 1, "words")
+    alone = write(words, lambda n: word_ratios(counts(n))[:2], 3, "probabilities")
 
     def pair_ratios(n: dict[str, np.ndarray]):
-        a, b = n["a"].view(np.uint64), n["b"].view(np.uint64)
-        (held, _), ((lower, *p), _), upper = before.find(a), alone.find(b), []
+        a, b = n["a"], n["b"]
+        first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+        of_history = lambda x: np.repeat(np.add.reduceat(x, first), np.diff(np.append(first, len(a))))
+        ((lower, *p), _), upper = alone.find(b), []
         for k, c in enumerate(by):
-            d, most = cut[False][c], np.maximum(held[k], 1)
-            upper.append((n[c] - d[np.minimum(n[c], 3)]) / most + np.where(held[k] > 0, held[2 + k] / most, 1.0) * p[k])
+            taken, held = cut[False][c][np.minimum(n[c], 3)], of_history(n[c])
+            most = np.maximum(held, 1)
+            upper.append((n[c] - taken) / most + np.where(held > 0, of_history(taken) / most, 1.0) * p[k])
         change = log_ratio(upper) - log_ratio(p)
         # a word is expected as often in bigrams as its probabilities say, each class having its own number of bigrams
         believed = certainty(np.stack([n[c] for c in by]).astype(float), np.stack([p[k] * sums[False][c] for k, c in enumerate(by)]), sure[1])
         stays = weighs(n, change) > pair_least
         return pair_key(a, b)[stays], (lower + change * believed)[None, stays]
 
-    of_pairs = write(pairs.where(F.col("a") != WORD), pair_ratios, 1, "pairs")
+    of_pairs = write(pairs.where("not word").select("slot", "data"), lambda n: pair_ratios(counts(n)), 1, "pairs")
     alone.delete()
-    before.delete()
     return KneserNey(of_words, of_pairs)
 
 

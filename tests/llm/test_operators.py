@@ -330,6 +330,27 @@ def test_toxicity_counts_rare_expressions(spark):
     assert got["never"] == 0.0 < got[word] < 1.0  # counted once: some evidence, far below its plain ratio
 
 
+def test_toxicity_counts_travel_packed(spark, monkeypatch):
+    """A count takes few bytes, a history's bigrams come together, and adding up part by part loses none."""
+    rng = random.Random(8)
+    rows = [(" ".join(f"w{rng.randint(0, 300)}" for _ in range(200)), i % 2) for i in range(120)]
+    want, memo = collections.Counter(), toxicity.Hashes()
+    for t, y in rows:
+        h = [memo[w] for w in t.split()]
+        want.update((*x, y) for x in {*zip([int(toxicity.START), *h], h)} | {(toxicity.WORD, w) for w in h})
+    df = spark.createDataFrame(rows, "text string, label int").repartition(4)
+    for limit in (toxicity.MERGED, 50):
+        monkeypatch.setattr(toxicity, "MERGED", limit)
+        found = toxicity.count_pairs(df).collect()
+        got, of = collections.Counter(), {}
+        for r in found:
+            for a, b, *n in zip(*(x.tolist() for x in toxicity.unpack(r.data))):
+                got.update({(a, b, y): k for y, k in enumerate(n) if k})
+                assert of.setdefault(a, r.slot) == r.slot or r.word
+        assert got == want and len({(r.slot, r.word) for r in found}) == len(found)
+        assert sum(len(r.data) for r in found) <= 13 * len({k[:2] for k in want})
+
+
 def test_key_table_holds_any_slot(spark):
     keys = np.random.default_rng(3).integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2)
     df = spark.createDataFrame([(int(k.view(np.int64)),) for k in keys], "k long").withColumn("slot", keytables.slot(F.col("k"))).repartition("slot")
