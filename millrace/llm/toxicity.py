@@ -9,9 +9,10 @@ the class's own word probability, with the weight of its history.
 
 Every word and bigram of the counted rows is in the model, however rare, so the model grows with the rows. What a
 few texts hold says little, though, and would outweigh all else if taken at its face: a word's log ratio, and a
-bigram's change to that of its word, are multiplied by 1 / (1 + (SURE / G) ** 4), where G is the likelihood ratio
-statistic of its counts in the two classes (for a bigram against what its word lets expect). G grows with the
-counts, so with more rows more expressions have their full weight. The model is kept in files that workers map into memory (see `keytables`); neither the driver nor a worker has to hold it. Counts
+bigram's change to that of its word, are multiplied by the probability that the expression tells the classes apart
+at all, given its counts (for a bigram against what its word lets expect). Toxic shares are taken to be either what
+is expected or drawn from a beta distribution around it; how often the latter, and how closely, is chosen by
+the likelihood of all counts, for words and for bigrams, so no threshold is set by hand. The model is kept in files that workers map into memory (see `keytables`); neither the driver nor a worker has to hold it. Counts
 are shuffled packed, the bigrams of a history together, so that its totals need no second shuffle. On
 demand `fitted` prunes by relative entropy: a word or bigram stays if its mean probability in the classes times what
 it changes in the log-likelihood ratio (at most MOST) exceeds a threshold; `train` asks for none. What wasn't
@@ -29,6 +30,8 @@ may have any name but mean, worst and score.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +42,8 @@ from millrace.llm.common import K1, WORDS, Hashes, arrow_pass, crossing, mix, sp
 from millrace.llm.keytables import SLOT_BITS, KeyTable, slots, write
 
 MOST, PASSAGE = 8.0, 3
-SURE = (10.0, 20.0)  # G at which a word, a bigram has half its weight
+STRENGTHS = 2.0 ** np.arange(9)  # of the beta distribution; 1: as Jeffreys' for two classes
+TELLING = 2.0 ** -np.arange(1.0, 25.0)  # share of expressions that tell the classes apart
 WORD = 0  # stands for the history of a word counted by itself
 START = np.uint64(1)  # history of a text's first word
 BROADCAST_ROWS = 2_000_000  # labels are broadcast up to so many rows, and shuffled beyond
@@ -200,13 +204,60 @@ def discounts(n: tuple[int, int, int, int]) -> np.ndarray:
     return np.clip([0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0.0, [0.0, 1.0, 2.0, 3.0])
 
 
-def certainty(n: np.ndarray, expected: np.ndarray, sure: float) -> np.ndarray:
-    """0 to 1: how far counts n (a row a class) that differ from the expected proportions are to be believed; sure 0: wholly."""
-    if not sure:
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    low = np.ones_like(x)
+    for j in range(8):
+        low = low * (x + j)
+    z = x + 8
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - np.log(low)
+
+
+def telling(n: np.ndarray, share: np.ndarray, strength: float) -> np.ndarray:
+    """Log-likelihood of counts n (a row a class) if the toxic share is drawn around share, over that if it is share."""
+    beta = lambda a, b: log_gamma(a) + log_gamma(b) - log_gamma(a + b)
+    a, b = strength * share, strength * (1 - share)
+    return beta(n[1] + a, n[0] + b) - beta(a, b) - n[1] * np.log(share) - n[0] * np.log1p(-share)
+
+
+def _share(n: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    return np.broadcast_to(np.clip(expected[1] / expected.sum(0), 1e-9, 1 - 1e-9), n.shape[1:])
+
+
+def certainty(n: np.ndarray, expected: np.ndarray, prior: tuple[float, float] | None) -> np.ndarray:
+    """0 to 1: how far counts n (a row a class) that differ from the expected proportions are to be believed; prior (see chosen) None: wholly."""
+    if prior is None:
         return np.ones(n.shape[1])
-    share = n.sum(0) * expected / expected.sum(0)
-    g = 2 * (n * np.log(np.where(n > 0, n, 1) / np.where(n > 0, share, 1))).sum(0)
-    return 1 / (1 + (sure / np.maximum(g, 1e-9)) ** 4)
+    strength, rate = prior
+    return 1 / (1 + np.exp(-np.clip(telling(n, _share(n, expected), strength) + math.log(rate / (1 - rate)), -50, 50)))
+
+
+def likelihoods(n: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Of each strength and telling share, the log-likelihood of counts n; equal counts at once, shares to 1/16 of log odds."""
+    share = _share(n, expected)
+    odds = np.round(16 * np.log(share / (1 - share)))
+    order = np.lexsort((odds, n[1], n[0]))
+    each = np.stack([*n, odds])[:, order]
+    first = np.flatnonzero(np.concatenate([[True], (each[:, 1:] != each[:, :-1]).any(0)]))
+    times, each = np.diff(np.append(first, n.shape[1])), each[:, first]
+    centre = 1 / (1 + np.exp(-each[2] / 16))
+    rate = TELLING[:, None]
+    return np.stack([np.logaddexp(np.log(rate) + telling(each[:2], centre, k), np.log1p(-rate)) @ times for k in STRENGTHS])
+
+
+def chosen(rows: DataFrame, against: Callable[[bytes], tuple[np.ndarray, np.ndarray]]) -> tuple[float, float]:
+    """The strength and telling share under which all counts of rows (column data) are likeliest; against gives counts and what is expected."""
+
+    def run(batches):
+        total = np.zeros((len(STRENGTHS), len(TELLING)))
+        for batch in batches:
+            for data in batch.column(0):
+                total += likelihoods(*against(data.as_py()))
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["all"])
+
+    # one row of a few numbers a partition
+    found = [r[0] for r in rows.select("data").mapInArrow(run, "all array<double>").collect()]
+    k, r = divmod(int(np.argmax([math.fsum(x) for x in zip(*found)])), len(TELLING))
+    return float(STRENGTHS[k]), float(TELLING[r])
 
 
 def train(docs: DataFrame, labels: DataFrame, train_on: Column, *, label: str = "toxic", quota: tuple[int, int] = (2500, 2500), word_least: float = 0.0, pair_least: float = 0.0, text: str = "text", key: str = "doc_id") -> KneserNey | float:
@@ -230,7 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, train_on: Column, *, label: str =
     beside = F.broadcast if sum(of.values()) <= BROADCAST_ROWS else lambda df: df
     kept = store(first_copies(joined.join(beside(each), "key")), "training")
     pairs = count_pairs(joined.join(beside(kept.where(F.col("fold") != held)), "key")).persist()
-    model = fitted(pairs, word_least, pair_least, SURE)
+    model = fitted(pairs, word_least, pair_least, weighted=True)
     pairs.unpersist()
     if model is None:
         return share
@@ -246,10 +297,10 @@ def train(docs: DataFrame, labels: DataFrame, train_on: Column, *, label: str =
     return model
 
 
-def fitted(pairs: DataFrame, word_least: float, pair_least: float, sure: tuple[float, float] = (0.0, 0.0)) -> KneserNey | None:
+def fitted(pairs: DataFrame, word_least: float, pair_least: float, weighted: bool = False) -> KneserNey | None:
     """The models of a table of counts (see count_pairs), pruned where a threshold isn't 0; None when a class has no word.
 
-    sure: see certainty, for words and for bigrams; without it the ratios are those of plain Kneser-Ney.
+    weighted: ratios count as far as they are certain; else they are those of plain Kneser-Ney.
     """
     by = ("ordinary", "toxic")
     tallies = [*by, *(f"{c}{k}" for c in by for k in (1, 2, 3, 4)), *(f"{c}_more" for c in by)]
@@ -279,23 +330,37 @@ def fitted(pairs: DataFrame, word_least: float, pair_least: float, sure: tuple[f
         shared = back * sum(taken.values()) / max(shared_total, 1e-300)
         return np.stack([(n[c] - taken[c]) / total[c] + shared for c in by])
 
+    def counts(data: bytes) -> dict[str, np.ndarray]:
+        return dict(zip(("a", "b", *by), unpack(data)))
+
+    def of_classes(n: dict[str, np.ndarray]) -> np.ndarray:
+        return np.stack([n[c] for c in by]).astype(float)
+
+    words, bigrams = (pairs.where(which).select("slot", "data") for which in ("word", "not word"))
+    all_words = np.array([[total[c]] for c in by])
+    prior = chosen(words, lambda data: (of_classes(counts(data)), all_words)) if weighted else None
+
     def word_ratios(n: dict[str, np.ndarray]):
         p = probable(n)
-        plain, seen = log_ratio(p), np.stack([n[c] for c in by]).astype(float)
-        ratio = plain * certainty(seen, np.array([[total[c]] for c in by]), sure[0])
-        return n["b"], np.stack([ratio, *p]), weighs(n, plain) > word_least
+        plain = log_ratio(p)
+        return n["b"], np.stack([plain * certainty(of_classes(n), all_words, prior), *p]), weighs(n, plain) > word_least
 
     def kept_words(n: dict[str, np.ndarray]):
         keys, values, stays = word_ratios(n)
         return keys[stays], values[:1, stays]
 
-    def counts(n: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        (data,) = n["data"]
-        return dict(zip(("a", "b", *by), unpack(data)))
+    of_words = write(words, lambda n: kept_words(counts(*n["data"])), 1, "words")
+    alone = write(words, lambda n: word_ratios(counts(*n["data"]))[:2], 3, "probabilities")
+
+    def expected(p) -> np.ndarray:
+        """A word is expected as often in bigrams as its probabilities say, each class having its own number of bigrams."""
+        return np.stack([p[k] * sums[False][c] for k, c in enumerate(by)])
+
+    def against_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        n = counts(data)
+        return of_classes(n), expected(alone.find(n["b"])[0][1:])
 
-    words = pairs.where("word").select("slot", "data")
-    of_words = write(words, lambda n: kept_words(counts(n)), 1, "words")
-    alone = write(words, lambda n: word_ratios(counts(n))[:2], 3, "probabilities")
+    pair_prior = chosen(bigrams, against_words) if weighted else None
 
     def pair_ratios(n: dict[str, np.ndarray]):
         a, b = n["a"], n["b"]
@@ -307,12 +372,11 @@ def fitted(pairs: DataFrame, word_least: float, pair_least: float, sure: tuple[f
             most = np.maximum(held, 1)
             upper.append((n[c] - taken) / most + np.where(held > 0, of_history(taken) / most, 1.0) * p[k])
         change = log_ratio(upper) - log_ratio(p)
-        # a word is expected as often in bigrams as its probabilities say, each class having its own number of bigrams
-        believed = certainty(np.stack([n[c] for c in by]).astype(float), np.stack([p[k] * sums[False][c] for k, c in enumerate(by)]), sure[1])
+        believed = certainty(of_classes(n), expected(p), pair_prior)
         stays = weighs(n, change) > pair_least
         return pair_key(a, b)[stays], (lower + change * believed)[None, stays]
 
-    of_pairs = write(pairs.where("not word").select("slot", "data"), lambda n: pair_ratios(counts(n)), 1, "pairs")
+    of_pairs = write(bigrams, lambda n: pair_ratios(counts(*n["data"])), 1, "pairs")
     alone.delete()
     return KneserNey(of_words, of_pairs)
 

@@ -330,6 +330,20 @@ def test_toxicity_counts_rare_expressions(spark):
     assert got["never"] == 0.0 < got[word] < 1.0  # counted once: some evidence, far below its plain ratio
 
 
+def test_toxicity_believes_rare_words_as_far_as_the_counts_say(spark):
+    """No threshold on how rare a word is: where many rare words tell the classes apart each counts, where none does none counts much."""
+    rng = random.Random(4)
+    for tells in (True, False):
+        rows = [(" ".join([*(f"w{rng.randint(0, 40)}" for _ in range(20)), *(f"rare{rng.randint(0, 300)}{'xy'[i % 2] if tells else ''}" for _ in range(2))]), i % 2) for i in range(600)]
+        pairs = toxicity.count_pairs(spark.createDataFrame(rows, "text string, label int")).persist()
+        seen = collections.Counter(w for t, _ in rows for w in set(t.split()) if w.startswith("rare"))
+        plain, model = toxicity.fitted(pairs, 0.0, 0.0), toxicity.fitted(pairs, 0.0, 0.0, weighted=True)
+        part = {k: m / p for k, p, m in zip(plain.words.tolist(), plain.word_ratio, model.word_ratio) if abs(p) > 1e-6}
+        memo = toxicity.Hashes()
+        rare = [part[memo[w]] for w, n in seen.items() if 2 <= n <= 4 and memo[w] in part]
+        assert len(rare) > 100 and (min(rare) > 0.5 if tells else np.median(rare) < 0.2)
+
+
 def test_toxicity_counts_travel_packed(spark, monkeypatch):
     """A count takes few bytes, a history's bigrams come together, and adding up part by part loses none."""
     rng = random.Random(8)
