@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
@@ -17,11 +18,16 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 MEMO_LIMIT = 150_000  # words a worker remembers before it starts afresh
 BLOCK_BYTES = 2 << 20  # text handled at once by a worker; Spark's own limit bounds an Arrow batch to 64 MB
+PIECE_BYTES, LONG_WORD = 1 << 18, 256  # text whose words are hashed at once; longer words are hashed one by one
 WORDS = re.compile(r"[^\W_]+")
 
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 S29, S32 = np.uint64(29), np.uint64(32)
 
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_ODD = np.uint16(0xFFFF)
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # masks of the first k of eight bytes
+
 _own_folder: list[str] = []
 
 
@@ -84,9 +90,33 @@ class Hashes(dict):
 _APART = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
+def apart(text: str) -> bytes:
+    """The tokens of a text with spaces between them."""
+    return text.lower().encode("utf-8", "replace").translate(_APART)
+
+
 def tokens(text: str) -> list[bytes]:
     """Lower-cased runs of ASCII letters and digits and of all other than ASCII signs, as bytes."""
-    return text.lower().encode("utf-8", "replace").translate(_APART).split()
+    return apart(text).split()
+
+
+@functools.cache
+def _plain() -> np.ndarray:
+    """Of each UTF-16 unit its lower case, or a space where that is no part of WORDS; _ODD where it takes more than the unit to tell."""
+    lower = [chr(c).lower() for c in range(1 << 16)]
+    table = np.array([ord(x) if WORDS.fullmatch(x) else 0x20 for x in (x[:1] for x in lower)], np.uint16)
+    table[[i for i, x in enumerate(lower) if len(x) > 1]] = table[0x3A3] = table[0xD800:0xE000] = _ODD  # a final sigma is another one
+    return table
+
+
+def worded(text: str) -> bytes:
+    """WORDS of the lower-cased text with spaces between them."""
+    if text.isascii():
+        return apart(text)
+    found = _plain()[np.frombuffer(text.encode("utf-16-le"), "<u2")]
+    if (found == _ODD).any():
+        return " ".join(WORDS.findall(text.lower())).encode()
+    return found.astype("<u2").tobytes().decode("utf-16-le").encode()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -94,6 +124,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> S32)
 
 
+def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """Of each text, the 64-bit hashes of its runs of bytes other than 0x20 and 0x09-0x0D; other ones than those of Hashes."""
+    out, held, size = [], [], 0
+    for t in texts:
+        if held and size + len(t) > PIECE_BYTES:
+            out += _hashed(held)
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    return out + _hashed(held) if held else out
+
+
+def _hashed(texts: list[bytes]) -> list[np.ndarray]:
+    data = b" ".join([b"", *texts, bytes(8)])
+    space = _SPACE[np.frombuffer(data, np.uint8)[:-8]]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    start, end = edges[::2], edges[1::2]
+    size = end - start
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from each place
+    h = mix(((size.astype(np.uint64) * K3) ^ (eight[start] & _FIRST[np.minimum(size, 8)])) * K1)
+    on, k = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(on):
+        h[on] = mix((h[on] ^ (eight[start[on] + k] & _FIRST[np.minimum(size[on] - k, 8)])) * K1)
+        k += 8
+        on = on[size[on] > k]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
+    cuts = np.searchsorted(start, np.cumsum([1, *(len(t) + 1 for t in texts)])).tolist()
+    return [h[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def windows(h: np.ndarray, w: int) -> np.ndarray:
     """Hashes of h[i:i+w] for each i, by doubling; empty when h is shorter than w."""
     n = len(h) - w + 1

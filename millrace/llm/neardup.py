@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.llm.common import K1, Hashes, arrow_pass, mix, store, tokens, windows
+from millrace.llm.common import K1, apart, arrow_pass, mix, store, windows, word_hashes
 from millrace.llm.components import components
 from millrace.llm.substrings import _rid, _with_rid
 
@@ -46,6 +46,10 @@ def shingle_set(h: np.ndarray) -> np.ndarray:
     return np.unique(windows(h, min(SHINGLE, len(h)))) if len(h) else h
 
 
+def shingle_sets(texts: list) -> list[np.ndarray]:
+    return [shingle_set(h) for h in word_hashes([apart(t) if t else b"" for t in texts])]
+
+
 def simhash(s: np.ndarray) -> np.ndarray:
     """256 bits (4 words): the majority of the bits of the shingles' hashes."""
     total = np.zeros(256, np.int64)
@@ -61,12 +65,10 @@ def simhash(s: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
     """(rid, n, sim array<long>, routes array<long>, further array<long>) of each distinct text with words."""
-    memo = Hashes()
 
     def part(batch):
         out = {"rid": [], "n": [], "sim": [], "routes": [], "further": []}
-        for raw, t in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(0).to_pylist()):
-            s = shingle_set(memo.of(tokens(t))) if t else ()
+        for raw, s in zip(batch.column(0).cast(pa.binary()).to_pylist(), shingle_sets(batch.column(0).to_pylist())):
             if len(s):
                 least = [int(mix(s ^ r).min().view(np.int64)) for r in _ROUTE_SALTS]
                 for k, v in zip(out, (_rid(raw), len(s), simhash(s).view(np.int64), least[:ROUTES], least[ROUTES:])):
@@ -226,12 +228,11 @@ def _verify(docs: DataFrame, families: DataFrame, sigs: DataFrame, text: str) ->
     blocks = sized.groupBy("l").agg(F.ceil(F.sum("n") / FAMILY_WORDS).cast("int").alias("m"))
     members = sized.join(blocks, "l").select(F.col("v").alias("rid"), F.col("l").alias("family"), "m")
     texts = _with_rid(docs, text=text).withColumnsRenamed({"_rid": "rid", "_text": "text"}).join(members, "rid").dropDuplicates(["rid"])
-    memo = Hashes()
 
     def sets(batch):
         out = {"family": [], "i": [], "j": [], "rid": [], "sim": [], "shingles": []}
-        for r, t, f, m in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            s = shingle_set(memo.of(tokens(t)))
+        rid, text, family, blocks = (batch.column(k).to_pylist() for k in range(4))
+        for r, s, f, m in zip(rid, shingle_sets(text), family, blocks):
             own = r % m
             for j in range(m):
                 for k, v in zip(out, (f, min(own, j), max(own, j), r, simhash(s).view(np.int64), s.view(np.int64))):
@@ -301,9 +302,9 @@ def audit(docs: DataFrame, found: DataFrame, *, text: str = "text", key: str = "
     The sample is the texts of rows whose key is divisible by every, most of them at most (a documented bound of
     the sample, chosen by hash), compared with each distinct text by exact similarity.
     """
-    memo = Hashes()
     chosen = docs.where((F.col(key) % every == 0) & F.col(text).isNotNull()).select(F.col(text).alias("t")).distinct().orderBy(F.xxhash64("t"), "t").limit(most)
-    asked = [(_rid(t.encode()), s) for (t,) in chosen.collect() if len(s := shingle_set(memo.of(tokens(t))))]
+    texts = [t for (t,) in chosen.collect()]
+    asked = [(_rid(t.encode()), s) for t, s in zip(texts, shingle_sets(texts)) if len(s)]
     if not asked:
         return 0, 0
     flat = np.concatenate([s for _, s in asked])
@@ -312,9 +313,8 @@ def audit(docs: DataFrame, found: DataFrame, *, text: str = "text", key: str = "
     flat, owner, sizes, ids = flat[order], owner[order], np.array([len(s) for _, s in asked]), np.array([r for r, _ in asked])
 
     def part(batch):
-        out, mine = {"a": [], "b": []}, Hashes()
-        for raw, t in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(0).to_pylist()):
-            s = shingle_set(mine.of(tokens(t))) if t else ()
+        out = {"a": [], "b": []}
+        for raw, s in zip(batch.column(0).cast(pa.binary()).to_pylist(), shingle_sets(batch.column(0).to_pylist())):
             if not len(s):
                 continue
             low, high = np.searchsorted(flat, s), np.searchsorted(flat, s, side="right")

@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.llm.common import Hashes, arrow_pass, store, windows
+from millrace.llm.common import arrow_pass, store, windows, word_hashes
 
 GRAM, SIZE, HOT = 8, 35, 50_000
 BLOCK_WORDS, LONGEST = 250_000, 1 << 22
@@ -191,12 +191,11 @@ def _rid(text: bytes | None) -> int:
 
 def _segments(docs: DataFrame, text: str, size: int) -> DataFrame:
     """(mh, rid, start, n) of every segment of every row."""
-    memo = Hashes()
 
     def part(batch):
         mh, rid, start, n = [], [], [], []
-        for t in batch.column(0).cast(pa.binary()).to_pylist():
-            h = memo.of(text_words(t))
+        texts = batch.column(0).cast(pa.binary()).to_pylist()
+        for t, h in zip(texts, word_hashes([t or b"" for t in texts])):
             m, s, k = runs(h, size)
             mh.append(m)
             start.append(s)

@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.llm.common import K1, WORDS, Hashes, arrow_pass, crossing, mix, spread, store, windows
+from millrace.llm.common import K1, arrow_pass, crossing, mix, spread, store, windows, word_hashes, worded
 from millrace.llm.keytables import SLOT_BITS, KeyTable, slots, write
 
 MOST, PASSAGE = 8.0, 3
@@ -124,17 +124,24 @@ def labelled(docs: DataFrame, labels: DataFrame, train_on: Column, label: str, q
     return rows.select("key", (F.crc32(F.col("key").cast("string").cast("binary")) % 5).cast("int").alias("fold"), "text", "label"), sizes
 
 
-def _tokens(texts: list, memo: Hashes) -> list[np.ndarray]:
-    return [memo.of(WORDS.findall(t.lower())) if t else np.zeros(0, np.uint64) for t in texts]
+class Hashes(dict):
+    """word -> its hash in the model; to look up single words."""
+
+    def __missing__(self, word: str):
+        self[word] = h = int(word_hashes([word.encode()])[0][0])
+        return h
+
+
+def _tokens(texts: list) -> list[np.ndarray]:
+    return word_hashes([worded(t) if t else b"" for t in texts])
 
 
 def first_copies(rows: DataFrame, shingle: int = 5) -> DataFrame:
     """(key, fold, label): one row for each smallest hash of word 5-grams (whole text when shorter), the least by label, then key."""
-    memo = Hashes()
 
     def part(batch):
         least = []
-        for h in _tokens(batch.column(3).to_pylist(), memo):
+        for h in _tokens(batch.column(3).to_pylist()):
             grams = windows(h, min(shingle, len(h))) if len(h) else np.zeros(1, np.uint64)
             least.append(int(grams.min().view(np.int64)))
         yield {"key": batch.column(0), "fold": batch.column(1), "label": batch.column(2), "least": least}
@@ -149,11 +156,10 @@ def count_pairs(rows: DataFrame) -> DataFrame:
 
     Partitioned by slot, that of the bigram's or word's key; one row for a slot's bigrams, one for its words.
     """
-    memo = Hashes()
 
     def part(batch):
         seen = []
-        for h, y in zip(_tokens(batch.column(0).to_pylist(), memo), batch.column(1).to_pylist()):
+        for h, y in zip(_tokens(batch.column(0).to_pylist()), batch.column(1).to_pylist()):
             if len(h):
                 a = np.concatenate([[START], h[:-1]])
                 _, first = np.unique(pair_key(a, h), return_index=True)
@@ -386,10 +392,10 @@ def evidence(docs: DataFrame, model: KneserNey, keep: dict[str, Column], text: s
     of the PASSAGE words in which it is greatest; shorter texts count as if words of no weight followed)."""
     kept = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("_text"))
     names = list(keep)
-    memo, of_words, of_pairs = Hashes(), model.of_words, model.of_pairs
+    of_words, of_pairs = model.of_words, model.of_pairs
 
     def part(batch):
-        each = _tokens(batch.column(batch.num_columns - 1).to_pylist(), memo)
+        each = _tokens(batch.column(batch.num_columns - 1).to_pylist())
         n = np.array([len(x) for x in each])
         mean, worst = np.zeros(len(each)), np.zeros(len(each))
         full = np.flatnonzero(n)

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontam, fingerprints, keytables, langid, licenses, mixing, neardup, quality, queries, substrings, toxicity
+from millrace.llm import chat, common, decontam, fingerprints, keytables, langid, licenses, mixing, neardup, quality, queries, substrings, toxicity
 from millrace.llm.common import held_out, tokens, windows
 from millrace.llm.components import components
 
@@ -80,6 +80,37 @@ def test_windows_and_tokens():
     assert len(windows(h, 9)) == 0 and tokens("A-b, ÉTÉ  c_1") == [b"a", b"b", "été".encode(), b"c", b"1"]
 
 
+def test_words_of_whole_texts_are_hashed_as_each_alone(monkeypatch):
+    rng = random.Random(3)
+    parts = ["a", "ab", "a\0", "\0", "été", "x" * 8, "x" * 9, "x" * 16, "x" * 17, "y" * 256, "y" * 257, "z" * 3000, "\x85", "\xa0"]
+    parts += ["".join(rng.choices("ab\0é", k=rng.randint(1, 40))) for _ in range(300)]
+    texts = ["".join(x for w in rng.choices(parts, k=rng.randint(0, 60)) for x in (w, rng.choice([" ", "  ", "\t", "\n", "\x0b\x0c", "\r"]))).encode() for _ in range(50)]
+    texts = [b"", b"  ", *texts, b"end", b" end", b"end "]
+    alone = {w: int(common.word_hashes([w])[0][0]) for t in texts for w in t.split()}
+    assert len(set(alone.values())) == len(alone)
+    for piece in (1, 100, 1 << 18):
+        monkeypatch.setattr(common, "PIECE_BYTES", piece)
+        assert [h.tolist() for h in common.word_hashes(texts)] == [[alone[w] for w in t.split()] for t in texts]
+    assert common.word_hashes([]) == []
+
+
+def test_words_of_any_characters():
+    rng = random.Random(4)
+    every = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x10FFFF)]]
+    texts = ["".join(every[i : i + 999]) for i in range(0, len(every), 999)] + ["x".join(every[i : i + 999]) for i in range(0, len(every), 999)]
+    texts += ["".join(rng.choices("aZ_é É-\u03a3\u0130\u00df\u0345\U00010400\u2160\u00b2", k=30)) for _ in range(500)]
+    for t in texts:
+        assert common.worded(t).split() == [w.encode() for w in common.WORDS.findall(t.lower())]
+
+
+def test_hashes_of_words_that_differ_little_are_spread():
+    h = common.word_hashes([b" ".join(b"%d" % i for i in range(200_000))])[0]
+    assert len(np.unique(h)) == 200_000
+    for shift in (0, 24, 48, 54):
+        seen = np.bincount((h >> np.uint64(shift) & np.uint64(1023)).astype(int), minlength=1024)
+        assert 600 < ((seen - 200_000 / 1024) ** 2).sum() / (200_000 / 1024) < 1500  # chi square of 1023 degrees
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)] + [(None, 1), (5, 5)]
