@@ -6,8 +6,9 @@ w_i over the source's mean size. The convex dual in lambda is one equation for e
 a bracket solve all of them at once, until every source has converged: each step is one aggregate over a table
 of (source, size, documents), which is all the steps read, so the texts are read once and a hot source is
 counted before any shuffle. The bracket is known beforehand: at log(2) / the least x all rates are MOST, and at
--log(size / target) / the least x the words are no more than the target. Every third step halves it, so
-STEPS, at which the search is given up with an error, is out of reach.
+-log(size / target) / the least x the words are no more than the target. Every third step halves it, unless
+the gap has fallen to a thousandth since the third step before, which it can do a few times only; so STEPS, at
+which the search is given up with an error, is out of reach.
 Rates become copies by systematic rounding: running sums of rates, largest documents first, are rounded, so a
 source's copies never drift, and what is left of the target goes to the size that fits it best; inside a size
 the copies left over go to the documents first in hash order, found by counts of hash buckets rather than by a
@@ -70,7 +71,7 @@ def solved(cells: DataFrame, sizes: DataFrame) -> DataFrame:
     low = F.least(F.lit(0.0), -F.log(F.try_divide(F.col("source_size"), F.col("target"))) / least) - 1e-9
     at_bound = (F.col("target") <= 0) | (F.col("target") >= MOST * F.col("source_size") * (1 - 1e-12))
     state = sizes.join(own.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
-    state = store(state.select("source", "source_size", "target", "mean", F.lit(0.0).alias("lam"), low.alias("low"), (ln2 / least + 1e-9).alias("high"), (at_bound | F.col("mean").isNull()).alias("done")), "state")
+    state = store(state.select("source", "source_size", "target", "mean", F.lit(0.0).alias("lam"), low.alias("low"), (ln2 / least + 1e-9).alias("high"), F.lit(float("inf")).alias("mark"), (at_bound | F.col("mean").isNull()).alias("done")), "state")
     tilted = cells.where("size > 0").join(state.select(F.col("source").alias("s"), "mean"), F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "n", (F.col("size") / F.col("mean")).alias("x"))
     tilted = store(tilted, "tilted")
     for step in range(STEPS):
@@ -87,11 +88,12 @@ def solved(cells: DataFrame, sizes: DataFrame) -> DataFrame:
         gap = F.col("f") - F.col("target")
         low, high = F.when(gap < 0, F.col("lam")).otherwise(F.col("low")), F.when(gap > 0, F.col("lam")).otherwise(F.col("high"))
         newton = F.col("lam") - F.try_divide(gap, F.col("slope"))
-        inside = (newton > low) & (newton < high) & F.lit(step % 3 != 2)
+        third = step % 3 == 2
+        inside = (newton > low) & (newton < high) & ((F.abs(gap) <= F.col("mark") / 1000) if third else F.lit(True))
         onward = F.when(inside, newton).otherwise((low + high) / 2)
         settled = (F.abs(gap) <= 1e-9 * F.col("target") + 1e-9) | (high - low <= 1e-11 * F.greatest(F.lit(1.0), F.abs("lam")))
         over = F.col("done") | settled
-        new = moved.select("source", "source_size", "target", "mean", F.when(over, F.col("lam")).otherwise(F.round(onward, 12)).alias("lam"), F.coalesce(low, "low").alias("low"), F.coalesce(high, "high").alias("high"), over.alias("done"))
+        new = moved.select("source", "source_size", "target", "mean", F.when(over, F.col("lam")).otherwise(F.round(onward, 12)).alias("lam"), F.coalesce(low, "low").alias("low"), F.coalesce(high, "high").alias("high"), (F.least("mark", F.abs(gap)) if third else F.col("mark")).alias("mark"), over.alias("done"))
         before, state = state, store(new, "state")
         discard(before)
     raise RuntimeError(f"the dual of the mix hasn't converged in {STEPS} steps")
@@ -99,15 +101,16 @@ def solved(cells: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """docs -> key, source, size, source_size, target, rate, copies, taken."""
-    return _plan(docs.select(F.lit(None).cast("long").alias("row"), *_narrow(text, source, key))).select(F.col("k").alias(key), "source", "size", "source_size", "target", "rate", "copies", "taken")
+    return _plan(store(docs.select(F.lit(None).cast("long").alias("row"), *_narrow(text, source, key)), "sizes")).select(F.col("k").alias(key), "source", "size", "source_size", "target", "rate", "copies", "taken")
 
 
 def copies_of(docs: DataFrame, *, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """The mix itself: all columns of docs, each row as often as it was given copies, with copy (from 1), copies,
     size, source_size, target and rate, but for those that docs have as columns of their own."""
-    rows = store(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "rows")
-    plan = _plan(rows.select("row", *_narrow(f"doc.`{text}`", f"doc.`{source}`", f"doc.`{key}`"))).where("copies > 0")
-    made = rows.join(plan.withColumnRenamed("row", "at"), F.col("row") == F.col("at")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc"))
+    rows = store(rows.select("row", "doc", *_narrow(f"doc.`{text}`", f"doc.`{source}`", f"doc.`{key}`")), "rows")
+    plan = _plan(rows.drop("doc")).where("copies > 0")
+    made = rows.select("row", "doc").join(plan.withColumnRenamed("row", "at"), F.col("row") == F.col("at")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     added = [c for c in ("copy", "copies", "size", "source_size", "target", "rate") if c not in docs.columns]
     return made.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns], *added)
 
@@ -117,9 +120,8 @@ def _narrow(text: str, source: str, key: str) -> list[Column]:
     return [F.col(key).alias("k"), F.col(source).alias("source"), words(F.col(text)).alias("size"), F.xxhash64(F.col(key), F.col(text), F.lit(5)).alias("h")]
 
 
-def _plan(narrow: DataFrame) -> DataFrame:
-    """row, k, source, size, source_size, target, rate, copies, taken of each row of narrow."""
-    counted = store(narrow, "sizes")
+def _plan(counted: DataFrame) -> DataFrame:
+    """row, k, source, size, source_size, target, rate, copies, taken of each row of counted, a stored table."""
     cells = store(counted.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
     sizes = store(targets(cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))), "targets")
     state = solved(cells, sizes)

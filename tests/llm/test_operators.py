@@ -513,6 +513,14 @@ def test_rates_solve_the_dual(spark):
         assert r.done and math.isclose(f(r.lam), r.target, rel_tol=1e-6, abs_tol=0.01) and (math.isclose(r.lam, low, rel_tol=1e-4, abs_tol=1e-6) or math.isclose(f(low), f(r.lam), rel_tol=1e-6))
 
 
+def test_a_mix_writes_few_tables(docs, monkeypatch):
+    """Sizes are counted while the rows are stored, and no halving throws back Newton steps that converge."""
+    names, store = [], mixing.store
+    monkeypatch.setattr(mixing, "store", lambda df, name: names.append(name) or store(df, name))
+    assert mixing.copies_of(docs).count() > 0
+    assert "sizes" not in names and names.count("rows") == 1 and names.count("state") <= 15
+
+
 def test_mixed_copies_carry_whole_rows(spark, docs, corpus):
     clashing = docs.withColumns({c: F.lit(c) for c in ("copies", "row", "doc", "at", "k", "h", "rate", "a b.c")})
     got = mixing.copies_of(clashing)
