@@ -18,8 +18,8 @@ def _issue(field: str, rule: str, severity: Column | str, description: Column, s
     return F.struct(F.lit(field).alias("field"), F.lit(rule).alias("rule"), severity.alias("severity"), description.alias("description"), F.lit(suggestion).alias("suggestion"))
 
 
-def rules(df: DataFrame, profile: Profile) -> list[Column]:
-    """One expression a rule: null, or the issue a row has."""
+def rules(df: DataFrame, profile: Profile, named: bool = False) -> list:
+    """One expression a rule: null, or the issue a row has. named: (field, true where the rule is broken, else null) instead."""
     found = []
     for f in profile.fields.values():
         if f.name not in df.columns:
@@ -28,7 +28,7 @@ def rules(df: DataFrame, profile: Profile) -> list[Column]:
         number, text, said = isinstance(kind, NumericType), isinstance(kind, StringType), c.cast("string")
 
         def add(bad: Column, rule: str, severity, what: Column, how: str, name=f.name):
-            found.append(F.when(bad, _issue(name, rule, severity, what, how)))
+            found.append((name, F.when(bad, True)) if named else F.when(bad, _issue(name, rule, severity, what, how)))
 
         if f.required:
             add(c.isNull(), "required", "error", F.lit("value is missing"), "fill it in")
@@ -58,7 +58,7 @@ def issues(df: DataFrame, profile: Profile, row_id: str = "row_id", limit: int |
     found = rules(df, profile)
     schema = f"row_id {kind}, field string, rule string, severity string, description string, suggestion string"
     if found:
-        listed = df.select(F.col(row_id).alias("row_id"), F.explode(F.filter(F.array(*found), lambda i: i.isNotNull())).alias("i")).select("row_id", "i.*")
+        listed = df.select(F.col(row_id).alias("row_id"), F.explode(F.array(*found)).alias("i")).where("i IS NOT NULL").select("row_id", "i.*")
         if limit is not None:
             w = Window.partitionBy("field", "rule").orderBy("row_id")
             first = listed.where(~F.col("rule").isin(*UNCAPPED)).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
@@ -71,5 +71,17 @@ def issues(df: DataFrame, profile: Profile, row_id: str = "row_id", limit: int |
     return listed
 
 
+def issues_by_field(df: DataFrame, profile: Profile) -> DataFrame:
+    """(field, issues): how many issues a field with rules has, in one aggregate that lists none of them. An absent required column is one issue."""
+    per: dict[str, Column] = {}
+    for name, rule in rules(df, profile, named=True):
+        per[name] = per[name] + F.count(rule) if name in per else F.count(rule)
+    absent = {f.name: F.lit(1).cast("long") for f in profile.fields.values() if f.required and f.name not in df.columns}
+    if not per and not absent:
+        return df.sparkSession.createDataFrame([], "field string, issues long")
+    one = df.agg(F.array(*[F.struct(F.lit(n).alias("field"), k.alias("issues")) for n, k in (per | absent).items()]).alias("f"))
+    return one.select(F.explode("f").alias("f")).select("f.*")
+
+
 def issue_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("field", "rule", "severity").agg(F.count("*").alias("issues"))

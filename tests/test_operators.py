@@ -149,3 +149,25 @@ def test_text_flow(spark, tmp_path):
     r = run(spark, Goal("equipment", "extract_entries", f"file:{src}", params={"backend": text.StubBackend("equipment_name")}))
     assert r.success, r.errors
     assert [x.equipment_name for x in r.flow.data.collect()] == ["5"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_quantiles_are_exact_without_sorting(spark, seed):
+    rng = random.Random(seed)
+    odd = [0.0, 5e-324, 1e308, -1e308, 1e-9, 1e9, 1e9 + 1e-6, 3.0, 3.0, 3.0]
+    rows = [(rng.choice(odd), rng.lognormvariate(0, 9), rng.choice([None, 7, 2**40]), rng.choice([math.inf, -math.inf, math.nan, 1.0, None]), None) for _ in range(rng.randint(1, 400))]
+    df = spark.createDataFrame(rows, "a double, b double, c long, d double, e double")
+    at = (0.0, 0.25, 0.5, 0.75, 0.99, 1.0)
+    want = df.agg(*[F.percentile(F.col(c).cast("double"), list(at)).alias(c) for c in df.columns]).first()
+    got = stats.quantiles(df, df.columns, at)
+    for c in df.columns:
+        assert [repr(x) for x in got[c]] == [repr(x) for x in want[c] or [None] * len(at)]
+    plan = stats.profile(df, distinct=False)._jdf.queryExecution().toString()
+    assert "percentile" not in plan and "Exchange" not in plan
+
+
+def test_issues_by_field_counts_what_issues_lists(spark):
+    df = spark.range(60).select(F.col("id").alias("row_id"), (F.col("id") % 7 - 3.0).alias("v"), F.when(F.col("id") % 4 > 0, F.lit("x")).alias("w"))
+    p = Profile.of({"profile_id": "x", "fields": {"v": {"type": "float", "min": 0, "max": 2}, "w": {"required": True, "enum": ["y"]}, "u": {"required": True}, "z": {}, "row_id": {"min": 0}}})
+    listed = {r.field: r["count"] for r in quality.issues(df, p, limit=None).groupBy("field").count().collect()}
+    assert {r.field: r.issues for r in quality.issues_by_field(df, p).collect()} == listed | {"row_id": 0}
